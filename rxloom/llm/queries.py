@@ -1,9 +1,15 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from rxloom.llm.quality_classifier import op6_quality_classifier
+from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": OP3_SQL,
+}

@@ -3,13 +3,16 @@
 from rxloom.llm.quality_classifier import op6_quality_classifier
 from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
+from rxloom.llm.source_mixing import OP10_SQL, op10_source_mixing
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
+    "op10_source_mixing": OP10_SQL,
 }

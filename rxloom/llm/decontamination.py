@@ -28,7 +28,11 @@ BLOCK = 8
 SCALES = (16, 32, 64)
 PASSAGE = 64
 RANK = 64
-COSINE = 0.55
+COSINE = 0.6
+#: Share of a piece's length that a window must reach along the piece's direction.
+REACH = 0.5
+#: Terms are weighted by this power of the logarithm: common words say little about a leak.
+POWER = 3
 #: Shares of the piece's and of the answer's words that the common subsequence must hold.
 SHARE, ANSWER = 0.6, 0.5
 #: Benchmark rows handled in one go; more are handled in turns of as many.
@@ -53,6 +57,7 @@ class Pieces:
     idf: np.ndarray | None = None
     basis: np.ndarray | None = None
     vectors: np.ndarray | None = None
+    lengths: np.ndarray | None = None
 
     def add(self, item: int, text: str) -> None:
         found = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text.encode())]
@@ -119,7 +124,7 @@ def sketch_step(a: np.ndarray, weighted: np.ndarray, idf: np.ndarray, y: np.ndar
     """Adds A'(A.Omega) of the passages in ``a`` to ``y``; ``weighted`` is idf * Omega with a zero row at the end."""
     x = weighted[a].reshape(-1, PASSAGE, weighted.shape[1]).sum(axis=1)
     keep = np.nonzero(a < len(idf))[0]
-    order = keep[np.argsort(a[keep], kind="stable")]
+    order = keep[np.argsort(a[keep].astype(np.uint16 if len(idf) < 1 << 16 else np.int64), kind="stable")]
     if len(order):
         w = a[order]
         first = np.nonzero(np.concatenate(([True], w[1:] != w[:-1])))[0]
@@ -166,15 +171,16 @@ def nystroem(y: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return u[:, s > 1e-9 * max(s.max(), 1e-30)]
 
 
-def prepare(pieces: Pieces, counts: np.ndarray, total: int, basis: np.ndarray) -> None:
+def prepare(pieces: Pieces, basis: np.ndarray) -> None:
     table = np.vstack([basis * pieces.idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
     vectors = np.array([table[i].sum(axis=0) for i in pieces.ids])
     pieces.basis = table
-    pieces.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    pieces.lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+    pieces.vectors = vectors / pieces.lengths[:, None]
 
 
 def inverse_frequency(counts: np.ndarray, total: int) -> np.ndarray:
-    return np.log1p((total / PASSAGE + 1) / (counts + 1))
+    return np.log1p((total / PASSAGE + 1) / (counts + 1)) ** POWER
 
 
 def common(masks: dict[int, int], size: int, stream: list[int]) -> int:
@@ -203,6 +209,7 @@ class Search:
         self.p = pieces
         scale = np.array([pieces.scale(i) for i in range(len(pieces.ids))])
         self.by = {s: np.nonzero(scale == s)[0] for s in SCALES}
+        self.reach = {s: REACH * pieces.lengths[at] for s, at in self.by.items()}
         self.masks = [masks_of(i) for i in pieces.ids]
         self.tails = [masks_of(i[-n:]) for i, n in zip(pieces.ids, pieces.answers, strict=True)]
 
@@ -220,10 +227,11 @@ class Search:
                     level = level[: -(size // BLOCK)] + level[size // BLOCK :]
                     size *= 2
                 if len(self.by[s]):
-                    w = level[:starts]
-                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)
-                    rows, cols = np.nonzero(w @ self.p.vectors[self.by[s]].T >= COSINE * norm[:, None])
-                    out.update(zip(self.by[s][cols].tolist(), (at + rows * BLOCK).tolist(), strict=True))
+                    norm = np.sqrt(np.einsum("ij,ij->i", level[:starts], level[:starts]))
+                    large = np.nonzero(norm >= self.reach[s].min())[0]
+                    along = level[large] @ self.p.vectors[self.by[s]].T
+                    rows, cols = np.nonzero((along >= COSINE * norm[large, None]) & (along >= self.reach[s]))
+                    out.update(zip(self.by[s][cols].tolist(), (at + large[rows] * BLOCK).tolist(), strict=True))
         return out
 
     def matches(self, a: np.ndarray) -> dict[int, float]:
@@ -265,7 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         counts, total = word_counts(texts, pieces.vocab)
         pieces.idf = inverse_frequency(counts, total)
-        prepare(pieces, counts, total, randomised_svd(texts, pieces.vocab, pieces.idf))
+        prepare(pieces, randomised_svd(texts, pieces.vocab, pieces.idf))
         shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from rxloom.llm.decontamination import op8_decontamination
 from rxloom.llm.quality_classifier import op6_quality_classifier
 from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
@@ -9,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_decontamination": op8_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 

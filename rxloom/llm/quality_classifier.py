@@ -21,7 +21,7 @@ WIDTH, FILTERS, CHUNK, HALF = 6, 16, 256, 128
 SAMPLE_PER_CLASS = 1500
 #: ... and of each at most this many chunks, evenly spaced over its text. Scores use all chunks.
 SAMPLE_CHUNKS = 12
-EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY = 650, 64, 0.02, 1e-4
 THRESHOLD = 0.3
 _PIECE = 64 * 1024
 
@@ -88,7 +88,7 @@ def fit(chunks: list[list[bytes]], labels: np.ndarray, prior: float, seed: int =
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     p = [rng.normal(0, 0.1, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(1)]
     m, v, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(chunks))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]

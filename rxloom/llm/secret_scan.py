@@ -157,7 +157,7 @@ def redact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced by their kind, and ``n_chars`` follows."""
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*rest).alias("row"), "text")
-    found = secret_spans(packed, "row", "text").select("row", "text", F.array_sort(F.concat("base", "added")).alias("spans"))
+    found = secret_spans(packed, "row", "text").select(F.col("id").alias("row"), "text", F.array_sort(F.concat("base", "added")).alias("spans"))
     found = found.select("row", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"))
     kind = dict(docs.dtypes).get("n_chars")
     pick = lambda c: F.col("text") if c == "text" else F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)

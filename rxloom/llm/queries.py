@@ -2,6 +2,7 @@
 
 from rxloom.llm.chat_format import OP4_SQL, op4_chat_format
 from rxloom.llm.decontamination import op8_decontamination
+from rxloom.llm.embedding_dedup import op9_embedding_dedup
 from rxloom.llm.quality_classifier import op6_quality_classifier
 from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 

@@ -7,10 +7,12 @@ from rxloom.llm.quality_classifier import op6_quality_classifier
 from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
 from rxloom.llm.source_mixing import OP10_SQL, op10_source_mixing
+from rxloom.llm.suffix_dedup import op1_suffix_dedup
 from rxloom.llm.token_counts import op2_token_counts
 from rxloom.llm.url_filter import op7_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,

@@ -40,7 +40,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_partkey", "l_suppkey", f"{RANK} AS line_no")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey AS rx_id", "line_no", f"{MIX} AS k", "p_name")
-    return rows.selectExpr("rx_id", "line_no", f"trim({LINE}) AS line", f"{CONF} AS ocr_conf")
+    # exploding one value keeps later filters from writing out the long expression again
+    return rows.selectExpr("rx_id", "line_no", f"explode(array(trim({LINE}))) AS line", f"{CONF} AS ocr_conf")
 
 
 LINES_SQL = f"""lines AS (

@@ -118,7 +118,7 @@ br AS (SELECT *, CAST(sum(s) OVER (PARTITION BY rx_id, variant_idx ORDER BY yc,
 bb AS (SELECT rx_id, variant_idx, line_num, string_agg(trim(text), ' ' ORDER BY x, yc, box_idx) AS text, avg(conf) AS confidence FROM br GROUP BY ALL)"""
 _ENGINES = f"""{inputs.BOXES_SQL}, {_WORD_RUNS}, {_BOX_RUNS},
 eb AS (SELECT 'box' AS engine, * FROM bb UNION ALL SELECT 'word', * FROM wb),
-et AS (SELECT rx_id, engine, variant_idx, string_agg(text, chr(10) ORDER BY line_num) FILTER (text <> '') AS text, round(avg(confidence), 6) AS avg_conf FROM eb GROUP BY ALL),
+et AS (SELECT rx_id, engine, variant_idx, string_agg(text, chr(10) ORDER BY line_num) FILTER (text <> '') AS text, round(avg(confidence), 10) AS avg_conf FROM eb GROUP BY ALL),
 bv AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY rx_id, engine ORDER BY avg_conf DESC, variant_idx) AS r FROM et) WHERE r = 1)"""
 
 _SLOTS = "SELECT *, unnest(daily) AS time, unnest(range(0, len(daily))) AS time_idx"
@@ -148,7 +148,7 @@ _CODES = f"codes(ord, code, full_name, times_per_day, times) AS (VALUES {_CODES_
 _LF = frequency("line")
 
 ORACLE = {
-    "doses_per_prescription": f"WITH {PLANS}, e AS (SELECT rx_id, max(end_date) AS e, sum(days * len(daily)) AS n FROM plans GROUP BY rx_id) SELECT starts.rx_id, coalesce(e, start_date + 29) AS end_date, CAST(coalesce(n, 0) AS BIGINT) AS total_doses FROM starts LEFT JOIN e USING (rx_id)",
+    "doses_per_prescription": f"WITH {PLANS}, e AS (SELECT rx_id, max(end_date) AS e, sum(days * len(daily)) AS n FROM plans GROUP BY rx_id) SELECT starts.rx_id, CAST(CAST(coalesce(e, start_date + 29) AS date) AS VARCHAR) AS end_date, CAST(coalesce(n, 0) AS BIGINT) AS total_doses FROM starts LEFT JOIN e USING (rx_id)",
     "split_lines": f"WITH {inputs.DOCUMENTS_SQL} SELECT rx_id, CAST(i AS INTEGER) AS line_no, {strip('line')} AS line FROM (SELECT rx_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM docs)",
     "line_scores": f"WITH {inputs.LINES_SQL} SELECT rx_id, line_no, {noise('line')} AS noise, {score('line')} AS score FROM lines",
     "strict_lines": f"WITH {inputs.LINES_SQL} SELECT rx_id, line_no, line, {score('line')} AS score FROM lines WHERE {STRICT}",
@@ -159,8 +159,8 @@ ORACLE = {
     "default_times": f"WITH {inputs.LINES_SQL}, {_CODES}, f AS (SELECT rx_id, line_no, {_LF['code']} AS code FROM lines) SELECT rx_id, line_no, code, coalesce(nullif(times, ''), '08:00') AS times FROM f LEFT JOIN codes USING (code)",
     "durations": f"WITH {inputs.LINES_SQL} SELECT rx_id, line_no, {days('line')} AS days, {after_duration('line')} AS rest FROM lines",
     "medicine_lines": f"WITH {PARSED} SELECT rx_id, line_no, name, dosage, full_name AS frequency, code AS frequency_code, times_per_day, duration_days, timing_notes, times FROM parsed",
-    "schedules": f"WITH {PLANS} SELECT rx_id, line_no, medicine_name, start_date, end_date, days, array_to_string(daily, ' ') AS times, duration_days = 0 AS is_ongoing FROM plans",
-    "dose_rows": f"WITH {PLANS}, d AS (SELECT rx_id, start_date, len(daily) AS n, unnest(range(0, days)) AS o FROM plans) SELECT rx_id, CAST(o + 1 AS INTEGER) AS day_number, CAST(sum(n) AS BIGINT) AS doses, min(start_date + CAST(o AS INTEGER)) AS day FROM d GROUP BY rx_id, o",
+    "schedules": f"WITH {PLANS} SELECT rx_id, line_no, medicine_name, CAST(start_date AS VARCHAR) AS start_date, CAST(CAST(end_date AS date) AS VARCHAR) AS end_date, days, array_to_string(daily, ' ') AS times, duration_days = 0 AS is_ongoing FROM plans",
+    "dose_rows": f"WITH {PLANS}, d AS (SELECT rx_id, start_date, len(daily) AS n, unnest(range(0, days)) AS o FROM plans) SELECT rx_id, CAST(o + 1 AS INTEGER) AS day_number, CAST(sum(n) AS BIGINT) AS doses, CAST(CAST(min(start_date + CAST(o AS INTEGER)) AS date) AS VARCHAR) AS day FROM d GROUP BY rx_id, o",
     "daily_slots": f"WITH {PLANS}, s AS ({_SLOTS} FROM plans), d AS (SELECT *, unnest(range(1, least(days, 5) + 1)) AS day_number FROM s) SELECT rx_id, CAST(day_number AS INTEGER) AS day_number, string_agg(concat_ws('|', time, medicine_name, dosage, timing_notes), ';' ORDER BY time, line_no, time_idx) AS slots FROM d GROUP BY rx_id, day_number",
     "daily_doses": f"WITH {PARSED} SELECT rx_id, CAST(sum(CASE WHEN times_per_day = 0 THEN 1 ELSE times_per_day END) AS BIGINT) AS daily_doses FROM parsed GROUP BY rx_id",
     "dose_progress": f"WITH {PLANS}, s AS ({_SLOTS} FROM plans) SELECT rx_id, count(*) AS total, count(*) FILTER (line_no % 2 = 0) AS taken, count(*) FILTER (line_no % 2 <> 0) AS remaining FROM s GROUP BY rx_id",
@@ -173,14 +173,14 @@ ORACLE = {
     "fallback_choice": f"""WITH {SUMMARY}, w AS (SELECT *, n = 0 OR conf <= 0.5 OR u::double / n >= 0.8 AS wanted, n + rx_id % 3 - 1 AS n2, greatest(u - 1, 0) AS u2, greatest(conf, 0.5) AS c2 FROM summary),
       b AS (SELECT *, wanted AND (n2 > n OR n2 = n AND (n2 - u2 > n - u OR n2 - u2 = n - u AND c2 > conf)) AS better FROM w)
       SELECT rx_id, wanted, better AS used_fallback, CASE WHEN better THEN n2 ELSE n END AS n_medicines, CASE WHEN better THEN u2 ELSE u END AS n_uncertain, round(CASE WHEN better THEN c2 ELSE conf END, 6) AS conf FROM b""",
-    "ocr_rows": f"WITH {inputs.BOXES_SQL}, {_BOX_RUNS} SELECT rx_id, variant_idx, line_num, text, round(confidence, 6) AS confidence FROM bb",
-    "word_blocks": f"WITH {inputs.WORDS_SQL}, {_WORD_RUNS} SELECT rx_id, variant_idx, line_num, text, round(confidence, 6) AS confidence FROM wb",
+    "ocr_rows": f"WITH {inputs.BOXES_SQL}, {_BOX_RUNS} SELECT rx_id, variant_idx, line_num, text, round(confidence, 10) AS confidence FROM bb",
+    "word_blocks": f"WITH {inputs.WORDS_SQL}, {_WORD_RUNS} SELECT rx_id, variant_idx, line_num, text, round(confidence, 10) AS confidence FROM wb",
     "engine_texts": f"WITH {_ENGINES} SELECT rx_id, engine, variant_idx, text, avg_conf FROM et",
     "best_variants": f"WITH {_ENGINES} SELECT rx_id, engine, variant_idx, text, avg_conf FROM bv",
     "unread_documents": f"WITH {inputs.WORDS_SQL} SELECT o_orderkey AS rx_id FROM orders WHERE o_orderkey NOT IN (SELECT rx_id FROM words WHERE conf >= 50)",
     "merge_choice": f"""WITH {_ENGINES}, p AS (SELECT rx_id, max(avg_conf) FILTER (engine = 'box') AS b, max(avg_conf) FILTER (engine = 'word') AS w FROM bv WHERE rx_id % 3 > 0 OR engine = 'box' GROUP BY rx_id)
       SELECT rx_id, CASE WHEN w IS NULL OR b * 0.55::double >= w * 0.45::double THEN 'box' ELSE 'word' END AS primary_engine,
-      round(CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN b * 0.55::double + w * 0.45::double ELSE coalesce(b, w) END, 6) AS conf,
+      CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN b * 0.55::double + w * 0.45::double ELSE coalesce(b, w) END AS conf,
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN 'box+word' WHEN w IS NULL THEN 'box' ELSE 'word' END AS engines FROM p""",
     "line_similarities": f"WITH {inputs.LINES_SQL}, p AS (SELECT l.rx_id, l.line_no, l.line AS a, r.line AS b FROM lines l JOIN lines r ON l.rx_id = r.rx_id AND r.line_no = l.line_no + 1) SELECT rx_id, line_no, round({_SIM}, 6) AS similarity FROM p",
     "link_candidates": f"WITH d AS (SELECT min(p_partkey) AS dict_idx, p_name AS name FROM part GROUP BY p_name), r AS (SELECT dict_idx, concat('Tab ', translate(name, 'ols', '015'), ' ', cast(dict_idx % 3 * 4000 AS string)) AS raw FROM d), c AS (SELECT dict_idx, {_cleaned('raw')} AS cleaned FROM r) SELECT dict_idx, cleaned, {_cands('cleaned')} AS candidates FROM c",
@@ -205,11 +205,11 @@ ORACLE = {
       SELECT *, CASE WHEN mime IS NULL OR mime = 'text/plain' THEN 415 WHEN length > 10485760 THEN 413 WHEN length < 1000 THEN 400 ELSE 200 END AS status_code FROM u""",
     "image_geometry": """WITH i AS (SELECT o_orderkey AS image_id, CAST(200 + o_orderkey % 3000 AS double) AS w, CAST(150 + o_custkey % 3500 AS double) AS h, o_totalprice / 200 AS v FROM orders),
       s AS (SELECT *, least(greatest(900 / h, 1200 / w), 3) AS f FROM i)
-      SELECT image_id, round(CASE WHEN (h < 900 OR w < 1200) AND f > 1.05 THEN f ELSE 1 END, 6) AS up, round(least(1, 2400 / greatest(w, h)), 6) AS down, round(least(v / 1000, 1), 6) AS quality FROM s""",
+      SELECT image_id, round(CASE WHEN (h < 900 OR w < 1200) AND f > 1.05 THEN f ELSE 1 END, 6) AS up, round(least(1, 2400 / greatest(w, h)), 6) AS down, round(least(v / 1000, 1), 10) AS quality FROM s""",
     "text_regions": """WITH c AS (SELECT l_orderkey AS rx_id, l_partkey % 800 AS x, l_suppkey % 500 AS y, CAST(trunc(l_quantity) AS BIGINT) * 6 AS w, CAST(l_linenumber AS BIGINT) * 5 AS h FROM lineitem),
       u AS (SELECT rx_id, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM c WHERE w * h >= 80 AND w >= 10 AND h >= 8 GROUP BY rx_id),
       v AS (SELECT *, (x2 - x1) * (y2 - y1) / 1080000::double > 0.9 OR (x2 - x1 < 120 AND y2 - y1 < 72) AS whole, CAST(floor(greatest(x2 - x1, y2 - y1) * 0.1::double) AS BIGINT) + 12 AS p FROM u)
-      SELECT rx_id, CASE WHEN NOT whole THEN greatest(0, x1 - p) END AS x1, CASE WHEN NOT whole THEN greatest(0, y1 - p) END AS y1, CASE WHEN NOT whole THEN least(1200, x2 + p) END AS x2, CASE WHEN NOT whole THEN least(900, y2 + p) END AS y2 FROM v""",
+      SELECT rx_id, CASE WHEN NOT whole THEN greatest(0, x1 - p) ELSE -1 END AS x1, CASE WHEN NOT whole THEN greatest(0, y1 - p) ELSE -1 END AS y1, CASE WHEN NOT whole THEN least(1200, x2 + p) ELSE -1 END AS x2, CASE WHEN NOT whole THEN least(900, y2 + p) ELSE -1 END AS y2 FROM v""",
     "skews": """WITH a AS (SELECT l_orderkey AS rx_id, CAST(CAST(trunc(l_quantity) AS INTEGER) % 41 - 20 AS double) + 0.25 AS a FROM lineitem), k AS (SELECT rx_id, coalesce(median(a) FILTER (a > -15 AND a < 15), 0.0::double) AS m FROM a GROUP BY rx_id)
       SELECT rx_id, CASE WHEN abs(m) < 0.5 THEN 0.0::double ELSE m END AS skew FROM k""",
 }

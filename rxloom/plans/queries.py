@@ -82,7 +82,7 @@ def medicine_lines(spark, sf_dir) -> DataFrame:
 
 def doses_per_prescription(spark, sf_dir) -> DataFrame:
     """The flagship: strict lines to total doses."""
-    return schedule.horizon(_starts(spark, sf_dir), _plans(spark, sf_dir)).select("rx_id", "end_date", "total_doses")
+    return schedule.horizon(_starts(spark, sf_dir), _plans(spark, sf_dir)).select("rx_id", F.col("end_date").cast("string"), "total_doses")
 
 
 def _starts(spark, sf_dir) -> DataFrame:
@@ -96,12 +96,12 @@ def _plans(spark, sf_dir) -> DataFrame:
 
 def schedules(spark, sf_dir) -> DataFrame:
     """R1, R2."""
-    return _plans(spark, sf_dir).select(*KEY, "medicine_name", "start_date", "end_date", "days", F.array_join("daily_times", " ").alias("times"), "is_ongoing")
+    return _plans(spark, sf_dir).select(*KEY, "medicine_name", F.col("start_date").cast("string"), F.col("end_date").cast("string"), "days", F.array_join("daily_times", " ").alias("times"), "is_ongoing")
 
 
 def dose_rows(spark, sf_dir) -> DataFrame:
     """Doses by day number."""
-    return schedule.doses(_plans(spark, sf_dir)).groupBy("rx_id", "day_number").agg(F.count(F.lit(1)).alias("doses"), F.min("day").alias("day"))
+    return schedule.doses(_plans(spark, sf_dir)).groupBy("rx_id", "day_number").agg(F.count(F.lit(1)).alias("doses"), F.min("day").cast("string").alias("day"))
 
 
 def daily_slots(spark, sf_dir) -> DataFrame:
@@ -160,7 +160,7 @@ def word_blocks(spark, sf_dir) -> DataFrame:
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("confidence", F.round("confidence", 6))
+    return rows.withColumn("confidence", F.round("confidence", 10))
 
 
 def _engines(spark, sf_dir) -> DataFrame:
@@ -171,7 +171,7 @@ def _engines(spark, sf_dir) -> DataFrame:
 
 def engine_texts(spark, sf_dir) -> DataFrame:
     """O4, O6."""
-    return ocr.enabled(ocr.engine_texts(_engines(spark, sf_dir))).withColumn("avg_conf", F.round("avg_conf", 6))
+    return ocr.enabled(ocr.engine_texts(_engines(spark, sf_dir))).withColumn("avg_conf", F.round("avg_conf", 10))
 
 
 def best_variants(spark, sf_dir) -> DataFrame:
@@ -187,7 +187,7 @@ def unread_documents(spark, sf_dir) -> DataFrame:
 def merge_choice(spark, sf_dir) -> DataFrame:
     """M1-M4."""
     rows = merge.choose_primary(best_variants(spark, sf_dir).filter("rx_id % 3 > 0 OR engine = 'box'"))
-    return rows.select("rx_id", "primary_engine", F.round("avg_confidence", 6).alias("conf"), F.array_join("engines_used", "+").alias("engines"))
+    return rows.select("rx_id", "primary_engine", F.col("avg_confidence").alias("conf"), F.array_join("engines_used", "+").alias("engines"))
 
 
 def line_similarities(spark, sf_dir) -> DataFrame:
@@ -301,7 +301,7 @@ def upload_validation(spark, sf_dir) -> DataFrame:
 def image_geometry(spark, sf_dir) -> DataFrame:
     """I4, I5, I12."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS image_id", "CAST(200 + o_orderkey % 3000 AS double) AS w", "CAST(150 + o_custkey % 3500 AS double) AS h", "o_totalprice / 200 AS v")
-    return rows.select("image_id", F.round(images.upscale(F.col("w"), F.col("h")), 6).alias("up"), F.round(images.downscale(F.col("w"), F.col("h")), 6).alias("down"), F.round(images.quality(F.col("v")), 6).alias("quality"))
+    return rows.select("image_id", F.round(images.upscale(F.col("w"), F.col("h")), 6).alias("up"), F.round(images.downscale(F.col("w"), F.col("h")), 6).alias("down"), F.round(images.quality(F.col("v")), 10).alias("quality"))
 
 
 def _contours(spark, sf_dir) -> DataFrame:
@@ -309,8 +309,8 @@ def _contours(spark, sf_dir) -> DataFrame:
 
 
 def text_regions(spark, sf_dir) -> DataFrame:
-    """I3."""
-    return images.text_region(_contours(spark, sf_dir)).select("rx_id", *[F.col(f"crop.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    """I3; -1 where the image is left whole."""
+    return images.text_region(_contours(spark, sf_dir)).select("rx_id", *[F.coalesce(F.col(f"crop.{c}").cast("long"), F.lit(-1)).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def skews(spark, sf_dir) -> DataFrame:

@@ -355,7 +355,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     anchors = texts.filter(F.length("t") >= length).select("k", "d", "t").mapInArrow(_anchors(length), "h long, k long, d long, i long, j long")
     anchors = scratch.save(anchors, "anchors")
-    again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # written, so that the join has its own exchanges, which adaptive execution splits at a hot anchor
+    again = scratch.save(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "again")
     lists = anchors.join(again, "h", "left_semi").groupBy("k", "d").agg(F.collect_set(F.struct("i", "j", "h")).alias("l"))
     members = texts.join(lists, ["k", "d"]).select("k", "d", "t", "l").mapInArrow(_members(length), "x binary, h long, k long, d long, i long, j long")
     members = scratch.save(members, "members")

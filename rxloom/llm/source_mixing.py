@@ -19,7 +19,7 @@ WEIGHTS = {f"src{k}": 1 + k % 4 for k in range(20)}
 OTHER = 1
 BLOCK_CHARS = 1 << 16
 #: Rows that one sorted bucket of one source holds at most, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def release(block: int, weight: int, total: int) -> int:

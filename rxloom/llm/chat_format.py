@@ -51,7 +51,7 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n"))
 
 
-def maximal(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def maximal(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """conv, turn, pos, role, text of the conversations that are no prefix of another.
 
     A conversation is its turns in order of (turn, role, text), compared by place,
@@ -60,7 +60,7 @@ def maximal(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows without a conversation id belong to none and are left out.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = numbered(rows.filter("conv is not null"))
+    rows = numbered(rows.filter("conv is not null"), block)
     ends = rows.select("conv", "pos", *_hashes()).groupBy("conv").agg(F.max("pos").alias("last"), F.bit_xor("h1").alias("p1"), F.bit_xor("h2").alias("p2"))
     steps = prefixes(rows)
     inner = steps.join(ends.select("conv", "last"), "conv").filter("pos < last").select("p1", "p2", F.col("pos").alias("last")).distinct()

@@ -96,10 +96,12 @@ def op10_source_mixing(spark, sf_dir) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their columns and mix_block, mix_start and mix_slot."""
+    """All documents with their columns and mix_block, mix_start and mix_slot, which replace columns of these names."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "n_chars")
     found = mixed(packed, WEIGHTS, id_col="doc_id", chars_col="n_chars")
-    return found.select("row.*", F.col("block").alias("mix_block"), F.col("start").alias("mix_start"), F.col("slot").alias("mix_slot"))
+    added = {"mix_block": "block", "mix_start": "start", "mix_slot": "slot"}
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added]
+    return found.select(*kept, *[F.col(v).alias(k) for k, v in added.items()])
 
 
 _SIZES = [*WEIGHTS.values(), OTHER]

@@ -46,8 +46,20 @@ def strict_lines(lines: DataFrame) -> DataFrame:
     return kept.withColumn("score", line_score(F.col("line"))).filter("score >= 3")
 
 
+def _is_weak(line: Column, score: Column) -> Column:
+    """P17 for a line that is no noise."""
+    return (F.length(line) >= 6) & ~has_any(line, [fixed.DOCTOR, fixed.PATIENT, fixed.HOSPITAL]) & ((score >= 1) | has(line, fixed.HINT))
+
+
 def lenient_lines(lines: DataFrame) -> DataFrame:
     """What may still be a medicine where the strict pass found none."""
-    line = F.col("line")
-    kept = lines.filter(F.length(line) >= 6).filter(~is_noise(line)).filter(~has_any(line, [fixed.DOCTOR, fixed.PATIENT, fixed.HOSPITAL]))
-    return kept.withColumn("score", line_score(line)).filter((F.col("score") >= 1) | has(line, fixed.HINT))
+    kept = lines.filter(F.length("line") >= 6).filter(~is_noise(F.col("line")))
+    return kept.withColumn("score", line_score(F.col("line"))).filter(_is_weak(F.col("line"), F.col("score")))
+
+
+def either_lines(lines: DataFrame) -> DataFrame:
+    """The lines of both passes, read once: ``strict`` says of which."""
+    kept = lines.filter(F.length("line") >= 4).filter(~is_noise(F.col("line")))
+    # exploding one value keeps the filter from writing out the score at each place where it names it
+    kept = kept.withColumn("score", F.explode(F.array(line_score(F.col("line")))))
+    return kept.withColumn("strict", F.col("score") >= 3).filter(F.col("strict") | _is_weak(F.col("line"), F.col("score")))

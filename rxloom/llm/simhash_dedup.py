@@ -77,7 +77,8 @@ def close_pairs(scratch: Scratch, fps: DataFrame, bucket: int = BUCKET) -> DataF
     out in every way (496 keys), in a struck-out one it has one (32 keys): then
     keys hold four fingerprints at most, however large the bucket was.
     """
-    keyed = _keyed(fps)
+    # a scan packs millions of eight-byte rows in a task, each of which becomes 66
+    keyed = _keyed(fps.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "fp"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("n1"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     groups = scratch.save(groups.filter("n > 1 and (key < 8589934592 or (n1 > 0 and n1 < n))"), "groups")
     near = "bit_count(a ^ b) <= 2"

@@ -10,12 +10,12 @@ of the other segment until whole fingerprints are fixed, which is exact as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.llm.common import Scratch, components
@@ -24,31 +24,47 @@ SEED = 42
 MAX_BITS = 2
 #: Members of a bucket that are compared with each other; fuller buckets are cut again.
 BUCKET = 64
+#: Words of a shingle in the stage, and the Jaccard similarity 4/5 by sizes: 9 * common >= 4 * (one + other).
+STAGE_WORDS, ALIKE, OF_SIZES = 5, 9, 4
+#: Of two texts with Jaccard similarity j, one band or more is equal with 1 - (1 - j ** ROWS) ** BANDS: 0.99997 at 0.8.
+BANDS, ROWS = 20, 4
+#: Texts of a group of candidates that are compared at a time.
+BLOCK = 256
 _CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The SimHash of a text's word shingles as a signed 64-bit integer."""
+def _hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, in chunks; a shorter text is one shingle."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return
     joined, size = b" ".join(found), len(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, size)
     spans = list(zip(starts[: size - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    counts = np.zeros((8, 8), dtype=np.int64)
     for at in range(0, len(spans), _CHUNK):
         part = spans[at : at + _CHUNK]
-        h = np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in part), dtype=np.uint64, count=len(part))
+        yield np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in part), dtype=np.uint64, count=len(part))
+
+
+def _simhash(chunks: Iterable[np.ndarray]) -> int:
+    counts, size = np.zeros((8, 8), dtype=np.int64), 0
+    for h in chunks:
         tally = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
         counts += tally.reshape(8, 256) @ _BITS
-    ones = (counts.ravel() * 2 > len(spans)).astype(np.uint8)
+        size += len(h)
+    ones = (counts.ravel() * 2 > size).astype(np.uint8)
     return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """The SimHash of a text's word shingles as a signed 64-bit integer."""
+    return _simhash(_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp) of every row; null and wordless texts get fingerprint zero."""
 
@@ -127,7 +143,112 @@ def op5_simhash_dedup(spark, sf_dir) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def bands(own: np.ndarray) -> list[int]:
+    """One key a band, as signed 64-bit integers: equal where ROWS minima of a text's distinct hashes are."""
+    mix = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, (own[at : at + 1024, None] * mix[0] + mix[1]).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype=np.uint64)
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """(key, digest of the set of shingles, fp, bands) of (key, t); texts without a word have no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                chunks = list(_hashes(t.as_py(), STAGE_WORDS))
+                own = _distinct(chunks)
+                out.append((xxhash.xxh3_128_digest(own.tobytes()), _simhash(chunks), bands(own) if len(own) else []))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], ["key", "digest", "fp", "bands"])
+
+    return rows.mapInArrow(run, "key long, digest binary, fp long, bands array<long>")
+
+
+def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes which share a band, or whose fingerprints differ at MAX_BITS or fewer."""
+    keyed = scratch.save(classes.select(F.explode("bands").alias("h"), "node").union(classes.select(F.xxhash64(F.lit("fp"), "fp"), "node")), "bands")
+    shared = keyed.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "a")
+    links = keyed.join(shared, "h").filter("node > a").select("a", F.col("node").alias("b"))
+    reps = scratch.save(classes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    pairs = close_pairs(scratch, reps.select("fp"))
+    pairs = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    return links.union(pairs.select("ra", "rb"))
+
+
+def verified(members: DataFrame) -> DataFrame:
+    """Links (a, b) of the texts of each group that connect all pairs with a Jaccard similarity of 0.8 or more.
+
+    ``members``: comp, node, t. A group of m texts has m / BLOCK blocks; a task
+    compares two blocks, without pairs that its earlier links connect already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_distinct(list(_hashes(t.as_py(), STAGE_WORDS))).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["comp", "node", "own"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        nodes, blocks = t.column("node").to_pylist(), t.column("blk").to_pylist()
+        sets = [frozenset(np.frombuffer(x, dtype=np.uint64).tolist()) for x in t.column("own").to_pylist()]
+        root, out, two = list(range(len(nodes))), [], len(set(blocks)) > 1
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        for x, one in enumerate(sets):
+            for y in range(x):
+                other = sets[y]
+                if two and blocks[x] == blocks[y]:
+                    continue
+                if ALIKE * min(len(one), len(other)) < OF_SIZES * (len(one) + len(other)) or find(x) == find(y):
+                    continue
+                if ALIKE * len(one & other) >= OF_SIZES * (len(one) + len(other)):
+                    root[find(x)] = find(y)
+                    out.append((nodes[x], nodes[y]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.mapInArrow(run, "comp long, node long, own binary").join(sizes, "comp")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "own")
+    return rows.groupBy("comp", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of the smallest doc_id (rows without one stay)."""
-    gone = simhash_components(docs).filter("id != component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group that near duplicates connect: that of the smallest doc_id, null being the largest.
+
+    Rows get a key of their own, so repeated and null ids are rows like others.
+    Texts without a word are copies of each other.
+    """
+    scratch = Scratch(spark, "dedup")
+    column = lambda c: F.col(f"`{c}`")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[column(c) for c in docs.columns]).alias("doc")), "rows")
+    found = scratch.save(signatures(rows.select("key", F.col("doc.text").cast("binary").alias("t"))), "signatures")
+
+    def best(key: str) -> Column:
+        return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"), F.col(key).alias("node"))
+
+    order = rows.select("key", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc").alias("tie"))
+    classes = found.join(order, "key").groupBy("digest").agg(F.min(best("key")).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.select("best", "best.node", "fp", "bands"), "classes")
+    near = components(Scratch(spark, "dedup"), candidates(scratch, classes)).select("node", F.col("component").alias("comp"))
+    members = near.join(rows.select(F.col("key").alias("node"), F.col("doc.text").cast("binary").alias("t")), "node").select("comp", "node", "t")
+    comps = components(Scratch(spark, "dedup"), scratch.save(verified(members), "links"))
+    kept = classes.select("node", "best").join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min("best").alias("best"))
+    kept = scratch.save(kept.select(F.col("best.node").alias("key")), "kept")
+    for name in ("signatures", "classes", "bands", "reps", "groups", "links"):
+        scratch.drop(name)
+    return rows.join(kept, "key", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

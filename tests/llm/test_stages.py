@@ -1,0 +1,59 @@
+"""What the stages of the pipeline decide, row by row, against brute force and planted cases."""
+
+from __future__ import annotations
+
+import numpy as np
+from conftest import SF
+
+from rxloom.llm import simhash_dedup
+
+DOCS = "doc_id long, text string"
+VOCABULARY = [f"w{i:04d}" for i in range(5000)]
+
+
+def made(rng, n):
+    return [str(w) for w in rng.choice(VOCABULARY, n)]
+
+
+def shingles(text, size=5):
+    words = text.lower().split()
+    return frozenset(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def alike(one, other):
+    return one == other or 5 * len(one & other) >= 4 * len(one | other)
+
+
+def test_dedup_stage_against_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(4)
+    for k in range(25):  # a copy with a word or two replaced, and a copy of that
+        one = made(rng, 70)
+        other = list(one)
+        other[20 + k] = "other"
+        third = list(other)
+        third[5] = "third"
+        rows += [(10_000 + 3 * k + i, " ".join(x)) for i, x in enumerate((one, other, third))]
+    many = made(rng, 200)  # more of them than a block holds
+    for k in range(300):
+        many[int(rng.integers(200))] = f"v{k}"
+        rows.append((20_000 + k, " ".join(many)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x, one in enumerate(sets):
+        for y in range(x):
+            if 5 * min(len(one), len(sets[y])) >= 4 * max(len(one), len(sets[y])) and alike(one, sets[y]):
+                root[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[find(x)] = min(i, least.get(find(x), i))
+    assert sum(v >= 20_000 for v in least.values()) < 20
+    found = simhash_dedup.dedup_stage(spark, spark.createDataFrame(rows, DOCS).repartition(5), SF)
+    assert found.columns == ["doc_id", "text"]
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(least.values())

@@ -4,8 +4,9 @@ A neighbour graph with ``K`` neighbours a vector is refined by local joins: vect
 share a neighbour are compared, and the better ones replace the worst on each other's
 lists. Lists that end up full of links say nothing of further links, so they are
 enlarged to their whole connected component, which is compared block by block. An audit
-compares a fixed number of vectors with all others; while it finds too few of their
-links, lists become longer and the descent goes on.
+compares some vectors, more of them in larger tables, with all others. The links it finds
+are links of the result. While too few of them were known, lists become longer and the
+descent goes on; where that doesn't help, all vectors are compared block by block.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ COSINE = 0.9
 K = 16
 #: Sorts by random hyperplanes, and rows of such a sort that are compared at the start.
 SORTS, RUN, PLANES = 6, 64, 24
-ROUNDS, LEAST_NEW = 6, 0.01
-#: Vectors of the audit, the share of their links to be found, and how often lists may be made longer for it.
-AUDITED, RECALL, LONGER = 256, 0.98, 3
+#: The descent goes on while more than this share of the edges is new.
+LEAST_NEW = 0.01
+#: Vectors of the audit (the larger of a number and a multiple of the table's square root), and the share of their links to be found.
+AUDITED, AUDITED_ROOT, RECALL = 2048, 16, 0.98
+#: How often lists are made longer for it before everything is compared.
+LONGER = 3
 #: Members of a component that are compared at a time.
 BLOCK = 512
 _NEAR = COSINE - 0.06  # of rounded vectors; links are decided in double precision
@@ -143,12 +147,13 @@ def descend(scratch: Scratch, vectors: DataFrame, dim: int, k: int, graph: DataF
     start = _start(vectors, dim, k).withColumn("new", F.lit(True))
     graph = scratch.save(_best(start if graph is None else start.union(graph.select("u", "v", "sim", F.lit(True))), k), f"{label}-0")
     size = graph.count()
-    for step in range(1, ROUNDS + 1):
+    step, going = 0, True
+    while going:
+        step += 1
         more = _round(graph, vectors, dim, k)
         graph = scratch.save(_best(graph.withColumn("new", F.lit(False)).union(more), k), f"{label}-{step}")
         scratch.drop(f"{label}-{step - 1}")
-        if graph.filter("new").count() <= LEAST_NEW * size:
-            break
+        going = graph.filter("new").count() > LEAST_NEW * size
     return graph.select("u", "v", "sim")
 
 
@@ -167,17 +172,20 @@ def confirmed(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 def missed(scratch: Scratch, vectors: DataFrame, links: DataFrame, dim: int, label: str) -> tuple[int, int, DataFrame]:
     """(links of the audited vectors to others, those of them in one component, all found as u, v, sim)."""
-    sample = vectors.orderBy(F.xxhash64("c", F.lit(5))).limit(AUDITED).select("c", "unit").collect()
+    audited = max(AUDITED, int(AUDITED_ROOT * vectors.count() ** 0.5))
+    sample = vectors.orderBy(F.xxhash64("c", F.lit(5))).limit(audited).select("c", "unit").collect()
     ids, x = np.array([r["c"] for r in sample]), np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), dtype=np.float64).reshape(-1, dim)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         for b in batches:
-            own = b.column(0).to_numpy()
-            sims = _doubles(b.column(1), dim) @ x.T
-            r, k = np.nonzero((sims >= COSINE) & (own[:, None] != ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(own[r]), pa.array(sims[r, k].astype(np.float32))], ["u", "v", "sim"])
+            own, y = b.column(0).to_numpy(), _doubles(b.column(1), dim)
+            for at in range(0, len(ids), BLOCK):
+                part = ids[at : at + BLOCK]
+                sims = y @ x[at : at + BLOCK].T
+                r, k = np.nonzero((sims >= COSINE) & (own[:, None] != part[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[k]), pa.array(own[r]), pa.array(sims[r, k].astype(np.float32))], ["u", "v", "sim"])
 
     truth = scratch.save(vectors.select("c", "unit").mapInArrow(compare, "u long, v long, sim float"), label)
     mine = links.select(F.col("node").alias("u"), F.col("component").alias("cu"))
@@ -185,6 +193,40 @@ def missed(scratch: Scratch, vectors: DataFrame, links: DataFrame, dim: int, lab
     return truth.count(), hit.count(), truth
 
 
+def compared(vectors: DataFrame, dim: int) -> DataFrame:
+    """a, b: links that connect what the links between all ``vectors`` connect.
+
+    A table of n vectors has n / (4 * BLOCK) blocks; a task compares two blocks, and
+    sends back at most one link a vector.
+    """
+    blocks = -(-vectors.count() // (4 * BLOCK))
+    rows = vectors.select("c", "unit", F.pmod(F.xxhash64("c", F.lit(9)), F.lit(blocks)).cast("int").alias("blk"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "c", "unit")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, x = t.column("c").to_numpy(), _doubles(t.column("unit").combine_chunks(), dim)
+        near = x @ x.T >= COSINE
+        np.fill_diagonal(near, False)
+        left, a, b = near.any(axis=1), [], []
+        while left.any():
+            start = int(np.argmax(left))
+            seen = np.zeros(len(ids), dtype=bool)
+            seen[start] = True
+            front = seen
+            while front.any():
+                front = near[front].any(axis=0) & ~seen
+                seen = seen | front
+            left &= ~seen
+            seen[start] = False
+            a.append(np.full(seen.sum(), ids[start]))
+            b.append(ids[seen])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return rows.groupBy("i", "j").applyInArrow(compare, "a long, b long")
+
+
 def counted(members: DataFrame, dim: int) -> DataFrame:
     """c, linked: the weight of all members of a vector's component with cosine >= COSINE, itself included.
 
@@ -229,17 +271,24 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = scratch.save(classes, "classes")
     vectors = scratch.save(classes.select("c", "x").mapInArrow(lambda it: _units(it, dim), "c long, unit binary, q binary"), "units")
 
-    k, graph, found, comps = K, None, None, None
+    def connected(links: DataFrame, label: str) -> DataFrame:
+        return scratch.save(components(Scratch(table.sparkSession, "vectors"), links), label)
+
+    k, graph, links, comps = K, None, None, None
     for turn in range(LONGER + 1):
         graph = descend(scratch, vectors, dim, k, graph, f"graph-{turn}")
-        edges = graph if found is None else graph.union(found)
-        comps = components(Scratch(table.sparkSession, "vectors"), scratch.save(confirmed(edges, vectors, dim), f"links-{turn}"))
-        comps = scratch.save(comps, f"components-{turn}")
+        more = confirmed(graph, vectors, dim)
+        links = scratch.save(more if links is None else links.union(more).distinct(), f"links-{turn}")
+        comps = connected(links, f"components-{turn}")
+        # the audit compares the same vectors each time, so it judges what the descent knows without its own links
         there, hit, truth = missed(scratch, vectors, comps, dim, f"audit-{turn}")
-        found = truth if found is None else found.union(truth)
         if hit >= RECALL * there:
+            if hit < there:
+                comps = connected(links.union(truth.select("u", "v")), "components-audited")
             break
         k = k * 3 // 2
+    else:
+        comps = connected(compared(vectors, dim), "components-compared")
     comps = comps.select(F.col("node").alias("c"), F.col("component").alias("comp"))
     members = comps.join(classes.select("c", "w", "rep"), "c")
     least = members.groupBy("comp").agg(F.min("rep").alias("component_id"))

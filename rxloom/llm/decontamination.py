@@ -28,9 +28,9 @@ BLOCK = 8
 SCALES = (16, 32, 64)
 PASSAGE = 64
 RANK = 64
-COSINE = 0.6
+COSINE = 0.3
 #: Share of a piece's length that a window must reach along the piece's direction.
-REACH = 0.5
+REACH = 0.2
 #: Terms are weighted by this power of the logarithm: common words say little about a leak.
 POWER = 3
 #: Shares of the piece's and of the answer's words that the common subsequence must hold.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from rxloom.llm import embedding_dedup
+from rxloom.llm import decontamination, embedding_dedup
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,36 @@ def test_a_descent_that_finds_nothing_loses_nothing(spark, planted, monkeypatch)
     nothing = lambda scratch, vectors, dim, k, graph, label: vectors.select("c", "c", "c").limit(0).toDF("u", "v", "sim").selectExpr("u", "v", "cast(sim as float) sim")
     monkeypatch.setattr(embedding_dedup, "descend", nothing)
     assert recall(spark, planted) == 1.0
+
+
+@pytest.mark.parametrize("replaced", [0.3, 0.4])
+def test_candidates_of_paraphrases(spark, replaced):
+    """Of passages with words replaced that alignment accepts, nine in ten at least are found at every length."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").filter("text is not null").collect()
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").orderBy("doc_id").select("text").collect()]
+    pieces, rng, pool = decontamination.Pieces(), np.random.default_rng(1), [w for t in texts[:200] for w in decontamination.words(t.encode())]
+    for r in rows:
+        pieces.add(r["item_id"], r["text"])
+    size = len(pieces.vocab)
+    streams = [decontamination.encoded(t.encode(), pieces.vocab) for t in texts]
+    counts = sum(np.bincount(a, minlength=size + 1) for a in streams)
+    pieces.idf = decontamination.inverse_frequency(counts[:size], int(counts.sum()))
+    draw, y = np.random.default_rng(11).normal(size=(size, min(decontamination.RANK, size))), np.zeros((size, min(decontamination.RANK, size)))
+    weighted = np.vstack([draw * pieces.idf[:, None], np.zeros((1, draw.shape[1]))]).astype(np.float32)
+    for a in decontamination.in_steps(iter(streams), size):
+        decontamination.sketch_step(a, weighted, pieces.idf, y)
+    decontamination.prepare(pieces, decontamination.nystroem(y, draw))
+    search, seen = decontamination.Search(pieces), {}
+    for p, ids in enumerate(pieces.ids * 4):
+        p %= len(pieces.ids)
+        own, host = list(ids), [pieces.vocab.get(w, size) for w in rng.choice(pool, 200)]
+        for at in rng.choice(len(own), round(replaced * len(own)), replace=False):
+            own[at] = pieces.vocab.get(pool[rng.integers(len(pool))], size)
+        at, n, pad = int(rng.integers(200)), pieces.answers[p], pieces.scale(p) // 2
+        a = np.array(host[:at] + own + host[at:], dtype=np.int64)
+        accepted = lambda s: decontamination.common(search.masks[p], len(ids), s) >= decontamination.SHARE * len(ids) and decontamination.common(search.tails[p], n, s) >= decontamination.ANSWER * n  # noqa: B023, E731
+        if any(accepted(a[max(0, s - pad) : s + pieces.scale(p) + pad].tolist()) for s in range(0, len(a), decontamination.BLOCK)):
+            seen.setdefault(pieces.scale(p), []).append(pieces.items[p] in search.matches(a))
+    print({k: f"{sum(v)} of {len(v)}" for k, v in sorted(seen.items())})
+    assert set(seen) == set(decontamination.SCALES)
+    assert all(sum(v) >= 0.9 * len(v) for v in seen.values())

@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+
+from rxloom.llm.common import Scratch
 
 BLOCK = 8
 #: Window lengths in words, all multiples of BLOCK; windows start at every BLOCK-th word.
@@ -35,7 +38,7 @@ REACH = 0.2
 POWER = 3
 #: Shares of the piece's and of the answer's words that the common subsequence must hold.
 SHARE, ANSWER = 0.6, 0.5
-#: Benchmark rows handled in one go; more are handled in turns of as many.
+#: Benchmark rows whose pieces are compared in one go; more are compared in turns of as many.
 ITEMS_AT_ONCE = 20_000
 _STEP = 1 << 15
 _SPLIT = bytes(32 if not (chr(c).isalnum() or c >= 128) else ord(chr(c).lower()) for c in range(256))
@@ -251,46 +254,57 @@ class Search:
         return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """One row per document and turn: id, items (array of benchmark ids found), best (largest share, 0.0 if none).
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", at_once: int = ITEMS_AT_ONCE, with_text: bool = False) -> DataFrame:
+    """One row per document: id, items (array of benchmark ids found), best (largest share, 0.0 if none); with t (the text's bytes) on request.
 
-    With up to ``at_once`` benchmark rows there is one turn; more rows are
-    handled in turns and the results combined by ``leaks``. Null or wordless
-    texts on either side match nothing; repeated documents have a row each;
-    repeated benchmark rows count once. Other columns are not read.
+    Words, weights and basis are those of the whole benchmark. With more than
+    ``at_once`` benchmark rows, the pieces are compared in turns, each of which
+    adds to the row that it reads. Null or wordless texts on either side match
+    nothing; repeated documents have a row each; repeated benchmark rows count
+    once. Other columns are not read.
     """
-    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
-    turns = max(1, -(-items.count() // at_once))
+    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    vocab: dict[bytes, int] = {}
+    n_items = 0
+    for r in items.orderBy("i", "t").toLocalIterator():
+        n_items += 1
+        for w in words(r["t"].encode()):
+            vocab.setdefault(w, len(vocab))
     texts = docs.select(F.col(text_col).cast("binary").alias("t"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    kind, out = docs.schema[id_col].dataType.simpleString(), []
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.expr("cast(array() as array<long>)").alias("items"), F.lit(0.0).alias("best"))
+    kept = ["id", "t", "items", "best"] if with_text else ["id", "items", "best"]
+    if not vocab:
+        return found.select(kept)
+    counts, total = word_counts(texts, vocab)
+    idf = inverse_frequency(counts, total)
+    basis = randomised_svd(texts, vocab, idf)
+    turns, scratch = max(1, -(-n_items // at_once)), Scratch(docs.sparkSession, "leaks")
     for turn in range(turns):
-        pieces = Pieces()
-        for r in sorted(items.filter(F.pmod(F.xxhash64("i"), F.lit(turns)) == turn).distinct().collect()):
+        pieces = Pieces(vocab=vocab, idf=idf)
+        for r in sorted(items.filter(F.pmod(F.xxhash64("i"), F.lit(turns)) == turn).collect()):
             pieces.add(r["i"], r["t"])
         if not pieces.ids:
-            out.append(rows.select("id", F.expr("cast(array() as array<long>)").alias("items"), F.lit(0.0).alias("best")))
             continue
-        counts, total = word_counts(texts, pieces.vocab)
-        pieces.idf = inverse_frequency(counts, total)
-        prepare(pieces, randomised_svd(texts, pieces.vocab, pieces.idf))
-        shared = docs.sparkSession.sparkContext.broadcast(pieces)
+        prepare(pieces, basis)
+        shared, last = docs.sparkSession.sparkContext.broadcast(pieces), turn == turns - 1
+        names = kept if last else found.columns
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value)
             for b in batches:
-                found = [search.matches(encoded(t.as_py(), search.p.vocab)) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())], ["id", "items", "best"]
-                )
-
-        out.append(rows.mapInArrow(run, f"id {kind}, items array<long>, best double"))
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
-    if turns == 1:
-        return found
-    return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("best").alias("best"))
+                more = [search.matches(encoded(t.as_py(), search.p.vocab)) for t in b.column(1)]
+                items = [sorted({*old, *new}) for old, new in zip(b.column(2).to_pylist(), more, strict=True)]
+                best = [max(old, *new.values()) if new else old for old, new in zip(b.column(3).to_pylist(), more, strict=True)]
+                out = {"id": b.column(0), "t": b.column(1), "items": pa.array(items, pa.list_(pa.int64())), "best": pa.array(best, pa.float64())}
+                yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
+
+        kinds = {"id": docs.schema[id_col].dataType, "t": BinaryType(), "items": ArrayType(LongType()), "best": DoubleType()}
+        found = found.mapInArrow(run, StructType([StructField(n, kinds[n]) for n in names]))
+        if not last:
+            found = scratch.save(found, f"turn-{turn}")
+            if turn:
+                scratch.drop(f"turn-{turn - 1}")
+    return found.select(kept)
 
 
 def op8_decontamination(spark, sf_dir) -> DataFrame:

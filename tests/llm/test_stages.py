@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from conftest import SF
 
-from rxloom.llm import simhash_dedup
+from rxloom.llm import decontamination, simhash_dedup
 
 DOCS = "doc_id long, text string"
 VOCABULARY = [f"w{i:04d}" for i in range(5000)]
@@ -57,3 +57,13 @@ def test_dedup_stage_against_all_pairs(spark):
     found = simhash_dedup.dedup_stage(spark, spark.createDataFrame(rows, DOCS).repartition(5), SF)
     assert found.columns == ["doc_id", "text"]
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(least.values())
+
+
+def test_decontamination_in_turns_equals_one_turn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(80)).selectExpr("if(doc_id % 3 = 0, null, doc_id) as doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(6)
+    bench = bench.union(bench.limit(2))
+    told = lambda at_once: sorted(((r["id"], r["items"], round(r["best"], 9)) for r in decontamination.contamination(docs, bench, at_once=at_once).collect()), key=repr)
+    assert told(1) == told(20_000)
+    assert len(told(20_000)) == docs.count()

@@ -314,7 +314,8 @@ def op8_decontamination(spark, sf_dir) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which no benchmark passage is found (rows without doc_id stay)."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter(F.size("items") > 0).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the rows in whose text no benchmark passage is found, whatever their ids."""
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
+    found = contamination(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row", "text", with_text=True).filter(F.size("items") == 0)
+    return found.select(*[F.col("t").cast("string").alias(c) if c == "text" else F.col(f"id.`{c}`").alias(c) for c in docs.columns])

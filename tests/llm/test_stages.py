@@ -59,6 +59,24 @@ def test_dedup_stage_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(least.values())
 
 
+def test_dedup_stage_whatever_the_ids(spark):
+    """Repeated and null ids, and an id in two groups: one row of each group stays."""
+    one, two, three = (" ".join(made(np.random.default_rng(k), 40)) for k in range(3))
+    rows = [(3, one), (5, one), (5, two), (9, two), (9, one), (None, three), (None, three), (None, three)]
+    found = simhash_dedup.dedup_stage(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted((r["text"] for r in found.collect())) == sorted([one, two, three])
+
+
+def test_decontamination_stage_whatever_the_ids(spark):
+    """A leak goes with a null id too, and a clean row stays beside a leak of the same id."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 60").orderBy("item_id").first()["text"]
+    clean = " ".join(made(np.random.default_rng(3), 60))
+    rows = [(None, leak), (1, leak), (1, clean), (None, clean), (2, None), (2, clean)]
+    found = decontamination.decontamination_stage(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert found.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, clean), (None, clean), (2, None), (2, clean)], key=repr)
+
+
 def test_decontamination_in_turns_equals_one_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.union(docs.limit(80)).selectExpr("if(doc_id % 3 = 0, null, doc_id) as doc_id", "text")

@@ -320,6 +320,7 @@ def test_planted_passages(spark, documents):
 
 
 def test_near_vectors_against_all_pairs(spark):
+    """The given table has no links; test_recall.py has tables that do."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

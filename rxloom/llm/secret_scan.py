@@ -1,16 +1,16 @@
 """Secrets in texts: fixed patterns, and high-entropy strings by a sliding window.
 
 Everything here is DataFrame functions. Candidate strings are runs of key-like
-characters; a window of ``WINDOW`` characters slides over each, and the sum that
-its Shannon entropy needs is kept up to date from the counts of the one character
-that enters and the one that leaves. What a character class demands differs: hex
-digits can't reach the entropy that mixed alphabets do.
+characters outside the spans of the fixed patterns; a window of ``WINDOW`` characters
+slides over each. The counts of its characters are kept in packed fields: of the
+character that enters one is raised, of the one that leaves one is lowered, and the sum
+that the Shannon entropy needs changes by what these two counts say. What a character
+class demands differs: hex digits can't reach the entropy that mixed alphabets do.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,18 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window must reach, by class of the whole candidate, first match wins; None: never.
 CLASSES = [("^[0-9]+$", None), ("^[0-9a-f]+$|^[0-9A-F]+$", 3.1), ("^[a-z]+$|^[A-Z]?[a-z]+$|^[A-Z]+$", 4.15), ("", 3.85)]
-#: Candidates that are known to be harmless: UUIDs, words or numbers with separators between, placeholders.
-ALLOW = [
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[+/_=-]*([A-Za-z]{1,24}|[0-9]{1,12})([+/_=-]+([A-Za-z]{1,24}|[0-9]{1,12}))*[+/_=-]*$",
-    r"EXAMPLE|example|xxxx|XXXX",
-]
+#: Candidates that are known to be harmless: UUIDs, and words or numbers with separators between (the pattern is of what they don't have).
+UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+NO_WORDS = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z]{25,}|[0-9]{13,}"
+#: Between separators, what has one of these in it is no part of a candidate.
+PLACEHOLDERS = ["EXAMPLE", "example", "xxxx", "XXXX"]
 KINDS = ["assign", "access", "hex", "entropy"]
 _SCALE = 1_000_000
+#: Characters of a candidate that are scanned at a time, and matches or spans that are handled together.
+PIECE, TOGETHER = 4096, 64
+#: Counts are fields of five bits, twelve in a number; the alphabet of candidates lies between + and z.
+_FIELD, _FIELDS, _FIRST = 5, 12, ord("+")
+_NUMBERS = -(-(ord("z") - _FIRST + 1) // _FIELDS)
 
 
 def _gain(n: int) -> int:
@@ -41,7 +45,7 @@ def _gain(n: int) -> int:
     return f(n) - f(n - 1)
 
 
-GAINS = [_gain(n) for n in range(1, WINDOW + 2)]
+GAINS = [_gain(n) for n in range(1, WINDOW + 1)]
 
 
 def ceiling(bits: float) -> int:
@@ -49,79 +53,163 @@ def ceiling(bits: float) -> int:
     return math.floor(_SCALE * WINDOW * (math.log2(WINDOW) - bits))
 
 
+def placeholder(words: list[str]) -> str:
+    return f"[A-Za-z0-9]*({'|'.join(words)})[A-Za-z0-9]*"
+
+
+_SPANS = "array<struct<s:int,k:int,e:int,g:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _firsts(rows: Column) -> Column:
+    """Numbers of the blocks of TOGETHER that hold the rows of an array."""
+    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / TOGETHER).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _slice(rows: Column, block: Column) -> Column:
+    return F.slice(rows, block * TOGETHER + 1, F.lit(TOGETHER))
+
+
 def _found(text: Column, pattern: str, group: int, order: int) -> Column:
-    """array<struct<s, k, e, g, w>>: every match by start (code points), with ``group`` and the whole match.
+    """array<struct<s, k, e, g>>: every match by start (code points), with ``group``.
 
     The pieces between matches and the matches themselves alternate, so running
-    sums of their lengths are the positions.
+    sums of their lengths are the positions: first within blocks of matches,
+    then over blocks, since an array that grows is copied at each step.
     """
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(pieces.alias("p"), whole.alias("w"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,k:int,e:int,g:string,w:string>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def span(s: Column, e: Column, g: Column) -> Column:
+        return F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e"), g.alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.coalesce(F.length(x["w"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e"), x["g"].alias("g"), x["w"].alias("w")))
-        return F.struct(e.alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        return F.struct(e.alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span(s, e, x["g"])))).alias("out"))
+
+    def shift(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["out"], lambda x: span(x["s"] + acc["at"], x["e"] + acc["at"], x["g"]))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    blocks = _let(rows, lambda r: F.transform(_firsts(r), lambda b: F.aggregate(_slice(r, b), start, step)))
+    return F.aggregate(blocks, start, shift, lambda acc: acc["out"])
+
+
+def _blocks(masks: Column) -> Column:
+    """Blocks of spans: m, with their least start (lo) and largest end (hi)."""
+    block = lambda m: F.struct(F.array_min(F.transform(m, lambda x: x["s"])).alias("lo"), F.array_max(F.transform(m, lambda x: x["e"])).alias("hi"), m.alias("m"))
+    return _let(masks, lambda r: F.transform(_firsts(r), lambda b: _let(_slice(r, b), block)))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+def _pieces(x: Column, masks: Column) -> Column:
+    """array<struct<s, w>>: what ``masks`` (blocks of spans by start) leave of the run ``x``, WINDOW characters at least."""
+    overlaps = lambda lo, hi: (lo < x["e"]) & (x["s"] < hi)
+    near = F.flatten(F.transform(F.filter(masks, lambda b: overlaps(b["lo"], b["hi"])), lambda b: b["m"]))
+    touching = F.filter(near, lambda m: overlaps(m["s"], m["e"]))
+    start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,w:string>>").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        piece = F.struct(acc["at"].alias("s"), F.substring(x["g"], acc["at"] - x["s"] + 1, s - acc["at"]).alias("w"))
+        return F.when(s - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+
+    step = lambda acc, m: F.struct(F.greatest(acc["at"], m["e"]).alias("at"), add(acc, m["s"]).alias("out"))
+    return F.aggregate(touching, start, step, lambda acc: add(acc, x["e"]))
 
 
 def _hot(w: Column, limit: Column) -> Column:
-    """struct<a, b>: from the first window of ``w`` under ``limit`` to the end of the last; null if there is none."""
-    gains = F.array(*[F.lit(x) for x in GAINS])
-    count = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
+    """struct<a, b>: from the first window of ``w`` under ``limit`` to the end of the last; null if there is none.
+
+    Long strings are scanned in pieces that overlap by all but one character of a window.
+    """
+    gains, none = F.array(*[F.lit(x) for x in GAINS]), F.lit(None).cast("int")
+    number = lambda c: F.call_function("div", c, F.lit(_FIELDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % _FIELDS * _FIELD)
+    count = lambda n, c: F.call_function("shiftright", F.element_at(n, number(c) + 1), c % _FIELDS * _FIELD).bitwiseAND(31).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["i"], x["o"]
+        less = F.when(leaves.isNull(), 0).otherwise(F.element_at(gains, count(acc["n"], leaves)))
+        more = F.element_at(gains, count(acc["n"], enters) + F.when(enters == leaves, 0).otherwise(1))
+        n = F.transform(acc["n"], lambda v, k: v + F.when(k == number(enters), bit(enters)).otherwise(0) - F.when(k == number(leaves), bit(leaves)).otherwise(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        out, full = F.substring(w, i - WINDOW, F.lit(1)), i > WINDOW
-        left = F.when(full, F.element_at(gains, F.greatest(count(F.substring(w, i - WINDOW, F.lit(WINDOW)), out), F.lit(1)))).otherwise(0)
-        rest = F.when(full, F.substring(w, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(F.substring(w, F.lit(1), i - 1))
-        total = acc["sum"] - left + F.element_at(gains, count(rest, F.substring(w, i, F.lit(1))) + 1)
-        hit = (i >= WINDOW) & (total <= limit)
-        return F.struct(total.alias("sum"), F.when(hit, F.coalesce(acc["a"], i - WINDOW)).otherwise(acc["a"]).alias("a"), F.when(hit, i).otherwise(acc["b"]).alias("b"))
+        def settled(total: Column) -> Column:
+            hit = (x["at"] >= WINDOW) & (total <= limit)
+            return F.struct(n.alias("n"), total.alias("sum"), F.when(hit, F.coalesce(acc["a"], x["at"] - WINDOW)).otherwise(acc["a"]).alias("a"), F.when(hit, x["at"]).otherwise(acc["b"]).alias("b"))
 
-    none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("sum"), none.alias("a"), none.alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(w)), start, step, lambda acc: F.when(acc["a"].isNotNull(), F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))
+        return _let(acc["sum"] - less + more, settled)
 
+    def scan(part: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(part, F.lit("."), F.lit(0)), lambda c: F.ascii(c) - _FIRST)
+        rows = _let(codes, lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("i"), F.get(cs, i - WINDOW).alias("o"), (i + 1).alias("at"))))
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), _NUMBERS).alias("n"), F.lit(0).alias("sum"), none.alias("a"), none.alias("b"))
+        return F.aggregate(rows, zero, step)
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: list[str] = ALLOW) -> DataFrame:
+    def parts(ps: Column) -> Column:
+        whole = lambda p, k: F.concat(p, F.substring(F.coalesce(F.get(ps, k + 1), F.lit("")), 1, WINDOW - 1))
+        moved = lambda h, k: F.struct((h["a"] + k * PIECE).alias("a"), (h["b"] + k * PIECE).alias("b"))
+        return F.transform(ps, lambda p, k: _let(scan(whole(p, k)), lambda h: moved(h, k)))
+
+    hits = _let(F.regexp_extract_all(w, F.lit(f".{{1,{PIECE}}}"), F.lit(0)), parts)
+    ends = _let(hits, lambda h: F.struct(F.array_min(F.transform(h, lambda x: x["a"])).alias("a"), F.array_max(F.transform(h, lambda x: x["b"])).alias("b")))
+    return F.when(limit.isNotNull(), _let(ends, lambda x: F.when(x["a"].isNotNull(), x)))
+
+
+def _limit(w: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for pattern, bits in reversed(CLASSES):
+        out = F.when(w.rlike(pattern), F.lit(None if bits is None else ceiling(bits)).cast("int")).otherwise(out)
+    return out
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: list[str] = [UUID], placeholders: list[str] = PLACEHOLDERS) -> DataFrame:  # noqa: B006
     """One row per row of ``docs``: id, text, base and added, arrays of struct<s, k, e> by start, then kind.
 
     ``k`` is the place in ``KINDS``; positions are code points, ends exclusive.
-    Null and empty texts have empty arrays. A candidate that a base span
-    overlaps is reported by that span alone; one that matches ``allow`` is not
-    reported. Repeated rows and null ids stay as they are; other columns are
-    not read.
+    Null and empty texts have empty arrays. What base spans and placeholders
+    leave of a run of key-like characters is a candidate of its own; candidates
+    of words and numbers, and such as match ``allow``, are not reported.
+    Repeated rows and null ids stay as they are; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,g:string,w:string>>)")
-    low = F.lower("t")
+    none, low, t = F.array().cast(_SPANS), F.lower("t"), F.col("t")
     word = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    held = F.lit(False)
+    for p in placeholders:
+        held = held | t.contains(p)
     rows = rows.select(
-        "id", "text", "t",
-        F.when(word, _found(F.col("t"), ASSIGN, 2, 0)).otherwise(none).alias("m0"),
-        F.when(F.col("t").contains("AKIA"), _found(F.col("t"), ACCESS, 0, 1)).otherwise(none).alias("m1"),
-        F.when(F.col("t").rlike(HEX), _found(F.col("t"), HEX, 0, 2)).otherwise(none).alias("m2"),
-        F.when(F.col("t").rlike(CANDIDATE), _found(F.col("t"), CANDIDATE, 0, 3)).otherwise(none).alias("m3"),
+        "id", "text",
+        F.when(word, _found(t, ASSIGN, 2, 0)).otherwise(none).alias("m0"),
+        F.when(t.contains("AKIA"), _found(t, ACCESS, 0, 1)).otherwise(none).alias("m1"),
+        F.when(t.rlike(HEX), _found(t, HEX, 0, 2)).otherwise(none).alias("m2"),
+        F.when(t.rlike(CANDIDATE), _found(t, CANDIDATE, 0, 3)).otherwise(none).alias("m3"),
+        # from the start of letters and digits only: trying the rest again would take quadratic time
+        F.when(held, _found(t, "(?<![A-Za-z0-9])" + placeholder(placeholders), 0, 3)).otherwise(none).alias("m4"),
     )
     slim = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     base = F.array_sort(slim(F.concat(F.filter("m0", lambda x: F.length(x["g"]) >= 8), F.col("m1"), F.col("m2"))))
-    rows = rows.select("id", "text", base.alias("base"), "m3")
-    fresh = F.filter("m3", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    fresh = F.filter(fresh, lambda x: ~reduce(lambda a, p: a | x["w"].rlike(p), allow, F.lit(False)))
-
-    def limit(w: Column) -> Column:
-        out = F.lit(None).cast("int")
-        for pattern, bits in reversed(CLASSES):
-            out = F.when(w.rlike(pattern), F.lit(None if bits is None else ceiling(bits)).cast("int")).otherwise(out)
+    rows = rows.select("id", "text", base.alias("base"), "m3", "m4")
+
+    def wanted(x: Column) -> Column:
+        out = x["w"].rlike(NO_WORDS)
+        for p in allow:
+            out = out & ~x["w"].rlike(p)
         return out
 
-    hot = F.transform(fresh, lambda x: F.struct(x["s"].alias("s"), _hot(x["w"], limit(x["w"])).alias("h")))
+    def scanned(masks: Column) -> Column:
+        pieces = F.filter(F.flatten(F.transform("m3", lambda x: _pieces(x, masks))), wanted)
+        return F.transform(pieces, lambda x: F.struct(x["s"].alias("s"), _let(_limit(x["w"]), lambda limit: _hot(x["w"], limit)).alias("h")))
+
+    hot = _let(_blocks(F.array_sort(F.concat(F.col("base"), slim(F.col("m4"))))), scanned)
     hot = F.filter(hot, lambda x: x["h"].isNotNull())
     added = F.transform(hot, lambda x: F.struct((x["s"] + x["h"]["a"]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["h"]["b"]).alias("e")))
-    return rows.select("id", "text", "base", added.alias("added"))
+    nothing = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return rows.select("id", "text", "base", F.when(F.size("m3") > 0, added).otherwise(nothing).alias("added"))
 
 
 def written(spans: Column) -> Column:
@@ -182,14 +270,19 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t F
 {_sql_found("k", ACCESS, 0)},
 {_sql_found("h", HEX, 0)},
 {_sql_found("c", CANDIDATE, 0)},
+{_sql_found("x", placeholder(PLACEHOLDERS), 0)},
 base AS (
   SELECT rid, s, 0 AS o, s + length(w) AS e FROM a_s WHERE length(g) >= 8
   UNION ALL SELECT rid, s, 1, s + length(w) FROM k_s
   UNION ALL SELECT rid, s, 2, s + length(w) FROM h_s),
-fresh AS (
-  SELECT rid, s, w, {_sql_limit()} AS lim FROM c_s
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c_s.rid AND b.s < c_s.s + length(c_s.w) AND c_s.s < b.e)
-  AND {" AND ".join(f"NOT regexp_matches(w, '{p}')" for p in ALLOW)}),
+masks AS (SELECT rid, s, e FROM base UNION ALL SELECT rid, s, s + length(w) FROM x_s),
+touched AS (SELECT c.rid, c.s, c.w, m.s AS ms, m.e AS me FROM c_s c JOIN masks m ON m.rid = c.rid AND m.s < c.s + length(c.w) AND c.s < m.e),
+chars AS (SELECT rid, s, w, unnest(range(s, s + length(w))) AS p FROM (SELECT DISTINCT rid, s, w FROM touched)),
+free AS (SELECT *, p - row_number() OVER (PARTITION BY rid, s ORDER BY p) AS island FROM chars h WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.rid = h.rid AND t.s = h.s AND t.ms <= h.p AND h.p < t.me)),
+pieces AS (
+  SELECT rid, min(p) AS s, substring(any_value(w), min(p) - any_value(s) + 1, count(*)) AS w FROM free GROUP BY rid, free.s, island HAVING count(*) >= {WINDOW}
+  UNION ALL SELECT rid, s, w FROM c_s WHERE (rid, s) NOT IN (SELECT rid, s FROM touched)),
+fresh AS (SELECT rid, s, w, {_sql_limit()} AS lim FROM pieces WHERE regexp_matches(w, '{NO_WORDS}') AND NOT regexp_matches(w, '{UUID}')),
 win AS (SELECT rid, s, lim, i, substring(w, i, {WINDOW}) AS x FROM (SELECT *, unnest(range(1, length(w) - {WINDOW} + 2)) AS i FROM fresh WHERE lim IS NOT NULL)),
 hot AS (SELECT rid, s, i FROM win WHERE list_sum(list_transform(list_distinct(string_split(x, '')),
   lambda c: [{", ".join(str(sum(GAINS[:n])) for n in range(1, WINDOW + 1))}][length(x) - length(replace(x, c, ''))])) <= lim),

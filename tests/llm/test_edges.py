@@ -9,7 +9,9 @@ import corpus_pipeline
 from rxloom.llm.queries import ORACLE_SQL, QUERIES
 
 LONG = " ".join(f"word{i % 977} password=abc{i}defgh" if i % 500 == 0 else f"w{i}" for i in range(60_000))
-DOCUMENTS = [(1, "", "en", "src0", 0), (2, None, None, None, None), (3, LONG, "en", "src1", len(LONG)), (4, "same text here", "en", "src1", 14), (4, "same text here", "en", "src1", 14), (5, "same text here", "de", "x", 14), (None, "same text here", "en", "src2", 14), (6, "ÄÖ ßß éé \u0000 x", "de", "src3", 10), (7, " \t\n", "en", "src1", 3)]
+#: One unbroken run of key-like characters, and one of hex digits and separators.
+RUN, HEXES = "".join(f"{i * 7919 % 9973}Kz" for i in range(3000)), "-".join(["0123456789abcdef" * 2] * 300)
+DOCUMENTS = [(1, "", "en", "src0", 0), (2, None, None, None, None), (3, LONG, "en", "src1", len(LONG)), (4, "same text here", "en", "src1", 14), (4, "same text here", "en", "src1", 14), (5, "same text here", "de", "x", 14), (None, "same text here", "en", "src2", 14), (6, "ÄÖ ßß éé \u0000 x", "de", "src3", 10), (7, " \t\n", "en", "src1", 3), (8, RUN, "en", "src0", len(RUN)), (9, HEXES, "en", "src0", len(HEXES))]
 CLASH = "id long, t string, row string, fp long, h long, k long, d long, l string, slot string, block long, start long, component string, items string, score double, text_ string, mix_block string, spans string, base string"
 
 

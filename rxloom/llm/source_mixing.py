@@ -4,7 +4,9 @@ Each source is cut into blocks of ``block_chars`` characters. With weight w out
 total W, block j of a source is released at slot floor(j * W / w) and due by slot
 ceil((j + 1) * W / w); each slot takes, of the released blocks, the one that is due
 first. Every block then runs within its window, so after any number of slots each
-source is less than one block away from its target share. Weights are whole numbers,
+source is less than one block away from its target share. A document longer than what
+is left of its block goes on in the next ones: it has a slot to begin and one to end in,
+and counts in each slot with the characters that the block holds. Weights are whole numbers,
 so the schedule repeats after W slots: one such period is worked out from the weights
 alone, and the slot of any block of any document follows by arithmetic.
 """
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 WEIGHTS = {f"src{k}": 1 + k % 4 for k in range(20)}
 OTHER = 1
 BLOCK_CHARS = 1 << 16
-#: Rows that one sorted bucket of one source holds at most, about.
-BUCKET_ROWS = 1_000
+#: Rows that one sorted bucket of one source holds at most, about, and buckets that are summed up together.
+BUCKET_ROWS, BUCKETS = 1_000, 1_000
 
 
 def release(block: int, weight: int, total: int) -> int:
@@ -43,10 +45,24 @@ def period(weights: list[int]) -> list[int]:
     return out
 
 
+def before(sums: DataFrame, keys: list[str], at: str, value: str, together: int = BUCKETS) -> DataFrame:
+    """``sums`` (keys, at, value) with ``before``: the sum of the values of smaller ``at`` of the same keys.
+
+    Runs of ``together`` places are summed first, so that no task orders more than a fraction of a key's rows.
+    """
+    sums = sums.withColumn("run_", F.floor(F.col(at) / together))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy(*keys, "run_").agg(F.sum(value).alias("whole_"))
+    runs = runs.select(*keys, "run_", F.coalesce(F.sum("whole_").over(upto(*keys).orderBy("run_")), F.lit(0)).alias("runs_"))
+    inside = F.coalesce(F.sum(value).over(upto(*keys, "run_").orderBy(at)), F.lit(0))
+    return sums.withColumn("inside_", inside).join(runs, [*keys, "run_"]).select(*keys, at, (F.col("runs_") + F.col("inside_")).alias("before"))
+
+
 def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_chars: int = BLOCK_CHARS, id_col: str = "id", source_col: str = "source", chars_col: str = "chars") -> DataFrame:
-    """``rows`` with block, start (the row's first character within its source) and slot.
+    """``rows`` with start (the row's first character within its source), block and slot, last_block and last_slot.
 
-    A row belongs to the block in which it starts; the order within a source is
+    A row begins in the block of its first character and ends in that of its
+    last; one without characters is where it starts. The order within a source is
     a fixed scatter of the id, then the id, then the length. Reading by (slot,
     start, id) is the mix; sources that end early leave their slots empty and
     no row is dropped or repeated. Null or unlisted sources share the weight
@@ -62,9 +78,10 @@ def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_ch
     sizes = [*weights.values(), other]
     count, table = [0] * len(sizes), []
     for slot, i in enumerate(period(sizes)):
-        table.append((i, count[i], sizes[i], slot))
+        table.append((i, count[i], slot))
         count[i] += 1
-    slots = spark.createDataFrame(table, "mix_source int, mix_j long, mix_weight long, mix_slot long")
+    # one row for each slot of a period: as many as the weights sum up to
+    slots = F.broadcast(spark.createDataFrame(table, "mix_source int, mix_j long, mix_slot long"))
 
     index = F.lit(len(weights))
     for i, name in enumerate(names[:-1]):
@@ -73,33 +90,30 @@ def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_ch
     at = F.pmod(F.pmod(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), F.lit(1 << 31)) * 2654435761, F.lit(1 << 32))
     rows = rows.withColumns({"mix_source": index, "mix_at": at, "mix_chars": F.coalesce(F.col(chars_col), F.lit(0)).cast("long")})
     rows = rows.withColumn("mix_bucket", F.expr(f"mix_at * {buckets} div {1 << 32}"))
-    sums = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_chars").alias("mix_sum"))
-    before = F.sum("mix_sum").over(Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("mix_sum")
-    sums = sums.select("mix_source", "mix_bucket", before.alias("mix_before"))
+    sums = before(rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_chars").alias("mix_sum")), ["mix_source"], "mix_bucket", "mix_sum")
     inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_at", id_col, "mix_chars").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("mix_inside", F.sum("mix_chars").over(inside) - F.col("mix_chars"))
-    rows = rows.join(sums, ["mix_source", "mix_bucket"]).withColumn("start", F.col("mix_before") + F.col("mix_inside"))
-    rows = rows.withColumn("block", F.expr(f"start div {block_chars}"))
+    rows = rows.join(sums.withColumnRenamed("before", "mix_before"), ["mix_source", "mix_bucket"]).withColumn("start", F.col("mix_before") + F.col("mix_inside"))
     share = F.element_at(F.array(*[F.lit(w) for w in sizes]), F.col("mix_source") + 1)
-    rows = rows.withColumn("mix_j", F.col("block") % share)
-    # one row for each slot of a period: as many as the weights sum up to
-    rows = rows.join(F.broadcast(slots), ["mix_source", "mix_j"])
-    rows = rows.withColumn("slot", F.expr(f"block div mix_weight * {total} + mix_slot"))
-    return rows.drop("mix_source", "mix_at", "mix_chars", "mix_bucket", "mix_before", "mix_inside", "mix_j", "mix_weight", "mix_slot")
+    rows = rows.withColumns({"mix_weight": share, "block": F.expr(f"start div {block_chars}"), "last_block": F.expr(f"(start + greatest(mix_chars, 1) - 1) div {block_chars}")})
+    for block, slot in (("block", "slot"), ("last_block", "last_slot")):
+        rows = rows.withColumn("mix_j", F.col(block) % F.col("mix_weight")).join(slots, ["mix_source", "mix_j"])
+        rows = rows.withColumn(slot, F.expr(f"{block} div mix_weight * {total} + mix_slot")).drop("mix_slot", "mix_j")
+    return rows.drop("mix_source", "mix_at", "mix_chars", "mix_bucket", "mix_before", "mix_inside", "mix_weight")
 
 
 def op10_source_mixing(spark, sf_dir) -> DataFrame:
-    """doc_id, source, block, start, slot of all of ``documents``."""
+    """doc_id, source, start, block, slot, last_block, last_slot of all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
     found = mixed(docs, WEIGHTS, id_col="doc_id", chars_col="n_chars")
-    return found.select("doc_id", "source", "block", "start", "slot")
+    return found.select("doc_id", "source", "start", "block", "slot", "last_block", "last_slot")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their columns and mix_block, mix_start and mix_slot, which replace columns of these names."""
+    """All documents with their columns and mix_start, mix_block, mix_slot and mix_last_slot, which replace columns of these names."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "n_chars")
     found = mixed(packed, WEIGHTS, id_col="doc_id", chars_col="n_chars")
-    added = {"mix_block": "block", "mix_start": "start", "mix_slot": "slot"}
+    added = {"mix_start": "start", "mix_block": "block", "mix_slot": "slot", "mix_last_slot": "last_slot"}
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added]
     return found.select(*kept, *[F.col(v).alias(k) for k, v in added.items()])
 
@@ -122,7 +136,7 @@ d AS (
     ((coalesce(doc_id, 0) & 2147483647) * 2654435761) & 4294967295 AS h
   FROM documents),
 b AS (SELECT *, CAST(sum(c) OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, c ROWS UNBOUNDED PRECEDING) - c AS BIGINT) AS start FROM d),
-e AS (SELECT *, start // {BLOCK_CHARS} AS block, ws[src] AS wt FROM b, w)
-SELECT doc_id, source, block, start, CAST(block // wt * {_TOTAL} + slots.slot AS BIGINT) AS slot
-FROM e JOIN slots ON e.src = slots.src AND slots.j = e.block % e.wt
+e AS (SELECT *, start // {BLOCK_CHARS} AS block, (start + greatest(c, 1) - 1) // {BLOCK_CHARS} AS last_block, ws[src] AS wt FROM b, w)
+SELECT doc_id, source, start, block, CAST(block // wt * {_TOTAL} + f.slot AS BIGINT) AS slot, last_block, CAST(last_block // wt * {_TOTAL} + l.slot AS BIGINT) AS last_slot
+FROM e JOIN slots f ON e.src = f.src AND f.j = e.block % e.wt JOIN slots l ON e.src = l.src AND l.j = e.last_block % e.wt
 """

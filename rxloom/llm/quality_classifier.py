@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxloom.llm.common import Scratch
+
 WIDTH, FILTERS, CHUNK, HALF = 6, 16, 256, 128
-#: The fit takes at most this many labelled documents of each class ...
-SAMPLE_PER_CLASS = 1500
-#: ... and of each at most this many chunks, evenly spaced over its text. Scores use all chunks.
-SAMPLE_CHUNKS = 12
+#: The fit takes at most this many labelled documents of each class, and no more than so many bytes of them; it reads their whole texts.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 32 << 20
+#: Half chunks that are looked at together in a step of the fit.
+TOGETHER = 4096
 STEPS, BATCH, RATE, DECAY = 650, 64, 0.02, 1e-4
+#: The fit also ends when the mean loss of a pass over the sample is below this.
+ENOUGH = 0.005
 THRESHOLD = 0.3
 _PIECE = 64 * 1024
 
@@ -67,62 +71,83 @@ def score(text: bytes | None, net: Network, tables: list[np.ndarray]) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def spread_chunks(text: bytes, most: int = SAMPLE_CHUNKS) -> list[bytes]:
-    """At most ``most`` chunks at even distances over the whole text."""
-    count = max(1, -(-max(len(text) - WIDTH + 1, 1) // HALF) - 1)
-    picks = np.unique(np.linspace(0, count - 1, min(count, most)).round().astype(int))
-    return [text[p * HALF : p * HALF + CHUNK + WIDTH - 1] for p in picks]
+def half_chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, positions): rows of HALF positions of a whole text with the bytes that their windows reach, and how many of them are positions of the text."""
+    n = max(len(text) - WIDTH + 1, 1)
+    count = -(-n // HALF)
+    data = np.frombuffer(text.ljust(count * HALF + WIDTH - 1, b"\0"), dtype=np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(data, HALF + WIDTH - 1)[::HALF][:count], np.minimum(n - HALF * np.arange(count), HALF)
 
 
-def fit(chunks: list[list[bytes]], labels: np.ndarray, prior: float, seed: int = 7) -> Network:
-    """Adam on the logistic loss of class-balanced rows; ``prior`` is the share of label 1 that scores assume."""
+def maxima(data: np.ndarray, valid: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the largest response of each filter in each half chunk, without bias."""
+    tops, places = [], []
+    for at in range(0, len(data), TOGETHER):
+        x = data[at : at + TOGETHER].astype(np.intp)
+        pairs = x[:, :-1] * 256 + x[:, 1:]
+        act = np.take(tables[0], pairs[:, :HALF], axis=0, mode="clip")
+        for k, t in enumerate(tables[1:], 1):
+            act += np.take(t, pairs[:, 2 * k : 2 * k + HALF], axis=0, mode="clip")
+        act[np.arange(HALF)[None, :] >= valid[at : at + TOGETHER, None]] = -1e9
+        places.append(act.argmax(axis=1))
+        tops.append(np.take_along_axis(act, places[-1][:, None, :], axis=1)[:, 0, :])
+    return np.concatenate(tops).astype(np.float64), np.concatenate(places)
+
+
+def loss_and_gradient(net: Network, data: np.ndarray, valid: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted logistic loss of documents of ``sizes`` half chunks, and its gradient by filters, bias, out and offset."""
+    top, place = maxima(data, valid, net.tables())
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    # chunks are pairs of neighbouring halves of a document, or its only half
+    chunks = np.maximum(sizes - 1, 1)
+    owner, starts = np.repeat(np.arange(len(sizes)), chunks), np.concatenate(([0], np.cumsum(chunks)[:-1]))
+    left = np.arange(len(owner)) - starts[owner] + first[owner]
+    right = np.where(sizes[owner] > 1, left + 1, left)
+    take = np.where(top[left] >= top[right], left[:, None], right[:, None])
+    value = np.maximum(top[left], top[right]) + net.bias
+    h = squash(value)
+    mean, best = np.add.reduceat(h, starts, axis=0) / chunks[:, None], np.maximum.reduceat(h, starts, axis=0)
+    feats = np.hstack([mean, best])
+    z = feats @ net.out + net.offset
+    loss = float((weight * (np.logaddexp(0, z) - labels * z)).mean())
+    dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * weight / len(sizes)
+    most = h == best[owner]
+    share = most / np.add.reduceat(most.astype(float), starts, axis=0)[owner]
+    dh = dz[owner][:, None] * (net.out[None, :FILTERS] / chunks[owner][:, None] + net.out[None, FILTERS:] * share)
+    dvalue = dh * (1 - h * h) * (value > 0)
+    f = np.arange(FILTERS)[None, :]
+    dtop = np.bincount((take * FILTERS + f).ravel(), weights=dvalue.ravel(), minlength=top.size).reshape(top.shape)
+    grad = np.zeros(WIDTH * 256 * FILTERS)
+    for k in range(WIDTH):
+        byte = np.take_along_axis(data, place + k, axis=1).astype(np.int64)
+        grad += np.bincount(((k * 256 + byte) * FILTERS + f).ravel(), weights=dtop.ravel(), minlength=grad.size)
+    return loss, [grad.reshape(WIDTH, 256, FILTERS), dvalue.sum(axis=0), feats.T @ dz, np.array(dz.sum())]
+
+
+def fit(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -> Network:
+    """Adam on the logistic loss of class-balanced rows, over whole texts; ``prior`` is the share of label 1 that scores assume."""
     rng = np.random.default_rng(seed)
-    span = CHUNK + WIDTH - 1
-    data = np.zeros((sum(map(len, chunks)), span), dtype=np.int64)
-    valid = np.zeros(len(data), dtype=np.int64)
-    doc = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
-    for i, c in enumerate(x for row in chunks for x in row):
-        data[i, : len(c)] = np.frombuffer(c, dtype=np.uint8)
-        valid[i] = max(1, len(c) - WIDTH + 1)
-    first = np.searchsorted(doc, np.arange(len(chunks) + 1))
+    halves = [half_chunks(t) for t in texts]
+    sizes = np.array([len(v) for _, v in halves])
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    p = [rng.normal(0, 0.1, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(1)]
+    p = [rng.normal(0, 0.1, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(())]
     m, v, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    while step < STEPS:
-        order = rng.permutation(len(chunks))
+    mean = np.inf
+    while step < STEPS and mean > ENOUGH:
+        order, losses = rng.permutation(len(texts)), []
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            sizes = first[docs + 1] - first[docs]
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            x = data[rows]
-            act = sum(p[0][k].astype(np.float32)[x[:, k : k + CHUNK]] for k in range(WIDTH))
-            act[np.arange(CHUNK)[None, :] >= valid[rows][:, None]] = -1e9
-            where = act.argmax(axis=1)
-            top = np.take_along_axis(act, where[:, None, :], axis=1)[:, 0, :] + p[1]
-            h = squash(top)
-            mean = np.add.reduceat(h, starts, axis=0) / sizes[:, None]
-            best = np.maximum.reduceat(h, starts, axis=0)
-            feats = np.hstack([mean, best])
-            z = feats @ p[2] + p[3][0]
-            dz = (1 / (1 + np.exp(-z)) - labels[docs]) * weight[docs] / len(docs)
-            owner = np.repeat(np.arange(len(docs)), sizes)
-            dh = dz[owner][:, None] * p[2][None, :FILTERS] / sizes[owner][:, None]
-            dh += np.where(h == best[owner], dz[owner][:, None] * p[2][None, FILTERS:], 0)
-            dtop = dh * (1 - h * h) * (top > 0)
-            grad = [np.zeros(p[0].size), dtop.sum(axis=0), feats.T @ dz, np.array([dz.sum()])]
-            f = np.arange(FILTERS)[None, :]
-            for k in range(WIDTH):
-                byte = np.take_along_axis(x, where + k, axis=1)
-                grad[0] += np.bincount(((k * 256 + byte) * FILTERS + f).ravel(), weights=dtop.ravel(), minlength=p[0].size)
-            grad[0] = grad[0].reshape(p[0].shape)
+            data, valid = (np.concatenate([halves[d][k] for d in docs]) for k in (0, 1))
+            loss, grad = loss_and_gradient(Network(p[0], p[1], p[2], float(p[3])), data, valid, sizes[docs], labels[docs], weight[docs])
+            losses.append(loss)
             step += 1
             for i, g in enumerate(grad):
                 g = g + DECAY * p[i]
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Network(p[0], p[1], p[2], float(p[3][0] + np.log(prior / (1 - prior))))
+        mean = np.mean(losses)
+    return Network(p[0], p[1], p[2], float(p[3] + np.log(prior / (1 - prior))))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -130,34 +155,35 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network | None:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Fits on a bounded sample of the labelled rows; None if there are none.
 
     Of each class the ``per_class`` rows with the smallest hash of doc_id take
-    part; their ids (a bounded set) are broadcast to the documents, and only
-    bounded chunks of those come to the driver. Repeated and contradicting
-    labels of an id count as the smaller one.
+    part, or so many of them, in that order, as have half of ``most_bytes``
+    together, one at least; their ids (a bounded set) are broadcast to the
+    documents. Repeated and contradicting labels of an id count as the smaller
+    one, repeated documents of an id as the one of the smallest text.
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares:
         return None
     picked = [known.filter(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    picked = picked[0].union(picked[1])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [spread_chunks(t.as_py() or b"") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.binary()))], ["id", "y", "chunks"])
-
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(picked), "doc_id")
-    rows = rows.select("doc_id", F.col("y").cast("int"), "t").mapInArrow(cut, "id long, y int, chunks array<binary>").collect()
-    rows.sort(key=lambda r: (r["id"], r["chunks"]))
-    if not rows:
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t")).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    rows = Scratch(spark, "labelled").save(rows.groupBy("doc_id", "y").agg(F.min("t").alias("t")), "rows")
+    chosen, held = [], {0: 0, 1: 0}
+    for r in rows.select("doc_id", "y", F.length("t").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        first = held[r["y"]] == 0
+        held[r["y"]] += max(r["n"], 1)
+        if first or held[r["y"]] <= most_bytes // 2:
+            chosen.append(r["doc_id"])
+    if not chosen:
         return None
+    found = rows.filter(F.col("doc_id").isin(chosen)).select("doc_id", "y", "t").collect()
+    found.sort(key=lambda r: r["doc_id"])
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-    return fit([[bytes(c) for c in r["chunks"]] for r in rows], np.array([r["y"] for r in rows], dtype=float), prior)
+    return fit([bytes(r["t"]) for r in found], np.array([r["y"] for r in found], dtype=float), prior)
 
 
 def quality_scores(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -238,14 +239,77 @@ def test_full_buckets_lose_no_link(spark):
 
 
 def test_quality_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    """Good and bad texts of every length are told apart."""
+    sf = "/root/testdata/sf0.1"
     rows = quality_classifier.op6_quality_classifier(spark, sf)
     assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    found = [tuple(r) for r in rows.filter("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()]
-    good, bad = [s for s, _, y in found if y == 1], [s for s, _, y in found if y == 0]
-    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
-    assert auc >= 0.8 and np.mean([p == y for _, p, y in found]) >= 0.7
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "coalesce(octet_length(text), 0) AS n")
+    found = [tuple(r) for r in rows.filter("held_out").join(labels, "doc_id").join(sizes, "doc_id").select("score", "predicted", "quality", "n").collect()]
+    for least, most in ((0, 500), (500, 2000), (2000, 4000), (4000, 1 << 60)):
+        good, bad = ([s for s, _, y, n in found if y == v and least <= n < most] for v in (1, 0))
+        auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+        print(f"{least} bytes and more: {len(good)} good, {len(bad)} bad, AUC {auc:.4f}")
+        assert min(len(good), len(bad)) > 5 and auc >= 0.9
+    assert np.mean([p == y for _, p, y, _ in found]) >= 0.95
+
+
+def plain_score(net, text):
+    data = np.frombuffer(text + bytes(max(0, 6 - len(text))), dtype=np.uint8)
+    act = sum(net.filters[k][data[k : len(data) - 5 + k]] for k in range(6)) + net.bias
+    h = np.tanh(np.maximum([act[c : c + 256].max(axis=0) for c in range(0, max(len(act) - 128, 1), 128)], 0))
+    return 1 / (1 + np.exp(-(np.concatenate([h.mean(axis=0), h.max(axis=0)]) @ net.out + net.offset)))
+
+
+def made_network(rng):
+    return quality_classifier.Network(rng.normal(0, 0.2, (6, 256, 16)), rng.normal(0, 0.1, 16), rng.normal(size=32), 0.1)
+
+
+def test_scores_against_a_plain_network():
+    rng = np.random.default_rng(6)
+    net = made_network(rng)
+    for size in (0, 3, 6, 133, 134, 300, 5000, 70_001):
+        text = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        assert abs(quality_classifier.score(text, net, net.tables()) - plain_score(net, text)) < 1e-5
+
+
+def test_the_fit_follows_the_gradient_of_whole_texts():
+    """Loss as of the plain scores, slopes as of small steps."""
+    rng = np.random.default_rng(7)
+    net, sizes = made_network(rng), (2, 140, 700, 3000)
+    texts, labels, weight = [bytes(rng.integers(97, 105, n, dtype=np.uint8)) for n in sizes], np.array([1.0, 0, 1, 0]), np.array([0.5, 2, 1, 1])
+    halves = [quality_classifier.half_chunks(t) for t in texts]
+    batch = [np.concatenate([h[k] for h in halves]) for k in (0, 1)] + [np.array([len(v) for _, v in halves]), labels, weight]
+    loss, grad = quality_classifier.loss_and_gradient(net, *batch)
+
+    def plain_loss():
+        p = np.array([plain_score(net, t) for t in texts])
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).mean()
+
+    assert abs(loss - plain_loss()) < 1e-4
+    for part, slope in ((net.filters, grad[0]), (net.bias, grad[1]), (net.out, grad[2])):
+        for at in np.argsort(-np.abs(slope).ravel())[:5]:
+            i, near = np.unravel_index(at, slope.shape), []
+            for step in (1e-4, -2e-4):
+                part[i] += step
+                near.append(plain_loss())
+            part[i] += 1e-4
+            assert abs((near[0] - near[1]) / 2e-4 - slope[i]) < 0.02 * abs(slope[i]) + 1e-4
+
+
+def test_the_fit_takes_a_bounded_sample(spark, monkeypatch):
+    """Repeated rows of an id count once; classes stop at half of the bytes each, after one text at least."""
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, labels, prior: seen.update(texts=texts, labels=labels.tolist()))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "x" * (100 + i)) for i in ids] * 3 + [(ids[0], None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids] * 2, "doc_id long, quality int, toxic int")
+    quality_classifier.train(spark, docs, labels)
+    assert len(seen["texts"]) == len(ids) and sum(seen["labels"]) == sum(i % 2 for i in ids)
+    quality_classifier.train(spark, docs, labels, most_bytes=2000)
+    assert 2 <= len(seen["texts"]) <= 20 and set(seen["labels"]) == {0, 1}
+    quality_classifier.train(spark, docs, labels, per_class=3, most_bytes=1)
+    assert sorted(seen["labels"]) == [0, 1]
 
 
 def test_scores_read_whole_texts():
@@ -391,10 +455,32 @@ def test_schedules_stay_within_one_block(weights):
         source_mixing.period([1, 0])
 
 
-def test_mixing_covers_every_character_once(spark):
-    found = [tuple(r) for r in source_mixing.op10_source_mixing(spark, SF).select("source", "start", "block", "slot").collect()]
-    chars = {r["doc_id"]: r["n_chars"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert len(found) == len(chars)
-    slots = {}
-    for source, start, block, slot in found:
-        assert block == start // source_mixing.BLOCK_CHARS and slots.setdefault(slot, (source in source_mixing.WEIGHTS and source, block))[1] == block
+@pytest.mark.parametrize("block_chars", [source_mixing.BLOCK_CHARS, 4096])
+def test_mixing_stays_within_one_block_on_the_table(spark, block_chars):
+    """Characters of every source after every slot, until a source ends; documents may be longer than a block."""
+    weights, sf = source_mixing.WEIGHTS, "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "n_chars")
+    rows = source_mixing.mixed(docs, weights, block_chars=block_chars, id_col="doc_id", chars_col="n_chars").collect()
+    assert len(rows) == docs.count() and max(r["n_chars"] for r in rows) > 2 * 4096
+    names, sizes, own = list(weights), [*weights.values(), source_mixing.OTHER], {}
+    for r in rows:
+        own.setdefault(names.index(r["source"]) if r["source"] in weights else len(names), []).append(r)
+    slots, done = source_mixing.period(sizes), {}
+    for t in range(max(r["last_slot"] for r in rows) + 1):
+        i = slots[t % sum(sizes)]
+        done.setdefault(i, []).append(t)
+    chars = {}
+    for i, found in own.items():
+        at = 0
+        for r in sorted(found, key=lambda r: (r["start"], r["last_slot"], r["n_chars"])):
+            assert r["start"] == at
+            at += r["n_chars"]
+            first, last = r["start"] // block_chars, (at - (r["n_chars"] > 0)) // block_chars
+            assert (r["block"], r["slot"], r["last_block"], r["last_slot"]) == (first, done[i][first], last, done[i][last])
+        chars[i] = at
+    ends = min(done[i][chars[i] // block_chars] for i in own)
+    assert ends > (sum(sizes) if block_chars == 4096 else 0)
+    for t in range(1, ends + 1):
+        for i in own:
+            told = block_chars * sum(x < t for x in done[i])
+            assert abs(told - sizes[i] * t * block_chars / sum(sizes)) < block_chars

@@ -32,6 +32,8 @@ K, LONGEST = 16, 64
 SORTS, RUN, PLANES = 6, 64, 24
 #: The descent goes on while more than this share of the edges is new.
 LEAST_NEW = 0.01
+#: Of what a local join offers a vector, the nearest 16, or half of a list, are sent to it; it takes part in as many joins as have it.
+OFFERS = 16
 #: Vectors of the audit: the larger of a number and a multiple of the table's square root, but no more bytes than are sent to each task.
 AUDITED, AUDITED_ROOT, AUDITED_BYTES = 2048, 16, 64 << 20
 #: Share of the audited links that must be known, and how often lists are made longer for it before everything is compared.
@@ -169,7 +171,13 @@ def _round(graph: DataFrame, vectors: DataFrame, dim: int, k: int) -> DataFrame:
                 x = spread(_halves(flat.field(3).to_pylist(), dim), 0)
                 sims = x @ x.transpose(0, 2, 1)
                 good = (sims > worst[:, :, None]) & (new[:, :, None] | new[:, None, :]) & place[:, None, :] & (ids[:, :, None] != ids[:, None, :])
-                r, i, j = np.nonzero(good)
+                most, sims = max(OFFERS, k // 2), np.where(good, sims, -9)
+                if wide > most:
+                    nearest = np.argpartition(-sims, most - 1, axis=2)[:, :, :most]
+                    r, i, j = np.nonzero(np.take_along_axis(sims, nearest, axis=2) > -9)
+                    j = nearest[r, i, j]
+                else:
+                    r, i, j = np.nonzero(good)
                 # in a group of lists the same pair comes up often
                 local = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
                 once = np.unique(local[r, i] << 32 | local[r, j], return_index=True)[1]

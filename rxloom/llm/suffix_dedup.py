@@ -33,6 +33,8 @@ LENGTH = 400
 GRAM = 96
 #: Bytes of different records that are sorted together; an anchor with more is counted by digests.
 TOGETHER = 2 << 20
+#: Bytes of texts in a bucket, and the most buckets that Spark takes.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
 #: Bytes of texts that are hashed together, and starts of a long text that are taken at a time.
 GROUP = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -316,43 +318,60 @@ def _digests(length: int):
     return run
 
 
-def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, t, l: array of (a, b) to be removed) the sizes, spans, digest and rest of each text."""
-    for b in batches:
-        out: list[list] = [[], [], [], [], []]
-        for t, l in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            spans: list[list[int]] = []
-            for x in sorted((x["a"], x["b"]) for x in l or ()):
-                if spans and x[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], x[1])
-                else:
-                    spans.append(list(x))
-            cuts = [0, *(p for s in spans for p in s), len(t)]
-            rest = b"".join(t[p:q] for p, q in zip(cuts[::2], cuts[1::2], strict=True))
-            for column, v in zip(out, (len(t), len(t) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def _results(with_kept: bool):
+    """From (id, t, l: array of (a, b) to be removed) the sizes, spans, digest and, on request, rest of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for t, l in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                spans: list[list[int]] = []
+                for x in sorted((x["a"], x["b"]) for x in l or ()):
+                    if spans and x[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], x[1])
+                    else:
+                        spans.append(list(x))
+                cuts = [0, *(p for s in spans for p in s), len(t)]
+                rest = b"".join(t[p:q] for p, q in zip(cuts[::2], cuts[1::2], strict=True))
+                for column, v in zip(out, (len(t), len(t) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                    column.append(v)
+            names, kinds = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            columns = [b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns[: 5 + with_kept], names[: 5 + with_kept])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``with_kept``, kept (the remaining bytes).
 
     Null texts count as empty. Repeated rows repeat each other's strings like
     any other rows; a null id is an id. Other columns are not read.
 
-    Texts are dealt out by row key once and written so; records are joined to
-    them where they are.
+    Texts are dealt out by row key once, into buckets of a bounded size, and
+    written so; records are joined to them where they are. The table of buckets
+    is dropped when the result, which is written too, is there.
     """
     if length < GRAM + 8:
         raise ValueError(f"strings must have at least {GRAM + 8} bytes")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select(F.xxhash64("id", "t").alias("k"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("d"), "id", F.col("t").cast("binary").alias("t"))
-    deal, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
-    rows.repartition(deal, "k", "d").write.bucketBy(deal, "k", "d").option("path", f"{scratch.base}/texts").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    deal, name = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // BUCKET_BYTES), MOST_BUCKETS)), f"texts_{uuid.uuid4().hex}"
+    kind = docs.schema[id_col].dataType.simpleString()
+    try:
+        rows.repartition(deal, "k", "d").write.bucketBy(deal, "k", "d").option("path", f"{scratch.base}/texts").format("parquet").saveAsTable(name)
+        texts = spark.table(name)
+        marks = _repeats(scratch, texts, length, deal)
+        told = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
+        return scratch.save(texts.join(marks, ["k", "d"], "left").select("id", "t", "l").mapInArrow(_results(with_kept), told), "results")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _repeats(scratch: Scratch, texts: DataFrame, length: int, deal: int) -> DataFrame:
+    """(k, d, l: array of (a, b)) of the texts with repeats."""
     anchors = texts.filter(F.length("t") >= length).select("k", "d", "t").mapInArrow(_anchors(length), "h long, k long, d long, i long, j long")
     anchors = scratch.save(anchors, "anchors")
     # written, so that the join has its own exchanges, which adaptive execution splits at a hot anchor
@@ -377,12 +396,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             part = part.repartition(deal, "h").sortWithinPartitions("h").mapInArrow(_sorted_repeats(length), "k long, d long, a long, b long")
         marks = marks.union(part)
-    marks = marks.groupBy("k", "d").agg(F.collect_set(F.struct("a", "b")).alias("l"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return texts.join(marks, ["k", "d"], "left").select("id", "t", "l").mapInArrow(_results, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return marks.groupBy("k", "d").agg(F.collect_set(F.struct("a", "b")).alias("l"))
 
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all of ``documents``."""
-    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats of all of ``documents``."""
+    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))

@@ -38,8 +38,10 @@ REACH = 0.2
 POWER = 3
 #: Shares of the piece's and of the answer's words that the common subsequence must hold.
 SHARE, ANSWER = 0.6, 0.5
-#: Benchmark rows whose pieces are compared in one go; more are compared in turns of as many.
-ITEMS_AT_ONCE = 20_000
+#: Benchmark rows, and bytes of them, whose pieces are compared in one go; more are compared in turns of as many.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
+#: Sketches that are summed up: so many for each core, however many parts the texts have.
+SKETCHES = 3
 _STEP = 1 << 15
 _SPLIT = bytes(32 if not (chr(c).isalnum() or c >= 128) else ord(chr(c).lower()) for c in range(256))
 
@@ -137,8 +139,8 @@ def sketch_step(a: np.ndarray, weighted: np.ndarray, idf: np.ndarray, y: np.ndar
 def randomised_svd(docs: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Leading right singular vectors (terms x rank) of the TF-IDF passages of all of ``docs``.
 
-    The random matrix is drawn again from its seed in each task. What comes to
-    the driver is one row per benchmark word.
+    The random matrix is drawn again from its seed in each task. A task sends
+    one row per benchmark word, and so much comes to the driver.
     """
     size, rank = len(vocab), min(rank, len(vocab))
     draw = lambda: np.random.default_rng(11).normal(size=(size, rank)).astype(np.float32)
@@ -151,14 +153,13 @@ def randomised_svd(docs: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, ra
         for a in in_steps(streams(batches, vocab), size):
             sketch_step(a, weighted, idf, y)
         at = np.nonzero(y.any(axis=1))[0]
-        rows = pa.FixedSizeListArray.from_arrays(pa.array(y[at].astype(np.float32).ravel()), rank).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([pa.array(at), rows], ["w", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c) for c in y[at].astype(np.float32).T]], ["w", *names])
 
-    parts = docs.mapInArrow(run, "w long, y array<float>").select("w", F.posexplode("y").alias("k", "v"))
-    sums = parts.groupBy("w", "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    names = [f"y{k}" for k in range(rank)]
+    parts = docs.coalesce(SKETCHES * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, ", ".join(["w long", *[f"{n} float" for n in names]]))
     y = np.zeros((size, rank))
-    for r in sums.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("y")).toLocalIterator():
-        y[r["w"]] = [x["v"] for x in r["y"]]
+    for r in parts.groupBy("w").agg(*[F.sum(F.col(n).cast("double")).alias(n) for n in names]).toLocalIterator():
+        y[r["w"]] = r[1:]
     return nystroem(y, draw().astype(np.float64))
 
 
@@ -258,16 +259,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: id, items (array of benchmark ids found), best (largest share, 0.0 if none); with t (the text's bytes) on request.
 
     Words, weights and basis are those of the whole benchmark. With more than
-    ``at_once`` benchmark rows, the pieces are compared in turns, each of which
+    ``at_once`` benchmark rows, or BYTES_AT_ONCE of them, the pieces are compared in turns, each of which
     adds to the row that it reads. Null or wordless texts on either side match
     nothing; repeated documents have a row each; repeated benchmark rows count
     once. Other columns are not read.
     """
     items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
     vocab: dict[bytes, int] = {}
-    n_items = 0
+    n_items, n_bytes = 0, 0
     for r in items.orderBy("i", "t").toLocalIterator():
-        n_items += 1
+        n_items, n_bytes = n_items + 1, n_bytes + len(r["t"])
         for w in words(r["t"].encode()):
             vocab.setdefault(w, len(vocab))
     texts = docs.select(F.col(text_col).cast("binary").alias("t"))
@@ -278,7 +279,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counts, total = word_counts(texts, vocab)
     idf = inverse_frequency(counts, total)
     basis = randomised_svd(texts, vocab, idf)
-    turns, scratch = max(1, -(-n_items // at_once)), Scratch(docs.sparkSession, "leaks")
+    turns, scratch = max(1, -(-n_items // at_once), -(-n_bytes // BYTES_AT_ONCE)), Scratch(docs.sparkSession, "leaks")
     for turn in range(turns):
         pieces = Pieces(vocab=vocab, idf=idf)
         for r in sorted(items.filter(F.pmod(F.xxhash64("i"), F.lit(turns)) == turn).collect()):

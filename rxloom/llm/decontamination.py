@@ -214,12 +214,19 @@ class Search:
         scale = np.array([pieces.scale(i) for i in range(len(pieces.ids))])
         self.by = {s: np.nonzero(scale == s)[0] for s in SCALES}
         self.reach = {s: REACH * pieces.lengths[at] for s, at in self.by.items()}
+        self.scale = scale.tolist()
+        self.lut = np.full(len(pieces.vocab) + 1, -1)
+        # different words of each piece, how often the piece and its answer have them
+        self.bags = []
+        for i, n in zip(pieces.ids, pieces.answers, strict=True):
+            own, at = np.unique(i, return_inverse=True)
+            self.bags.append((own, np.bincount(at), np.bincount(at[-n:], minlength=len(own))))
         self.masks = [masks_of(i) for i in pieces.ids]
         self.tails = [masks_of(i[-n:]) for i, n in zip(pieces.ids, pieces.answers, strict=True)]
 
-    def candidates(self, a: np.ndarray) -> set[tuple[int, int]]:
-        """(piece, first word) of the windows over COSINE, over all of ``a``."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, first word), by piece, of the windows over COSINE, over all of ``a``."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
         most = SCALES[-1]
         for at in range(0, max(len(a), 1), _STEP):
             part = a[at : at + _STEP + most]
@@ -235,22 +242,42 @@ class Search:
                     large = np.nonzero(norm >= self.reach[s].min())[0]
                     along = level[large] @ self.p.vectors[self.by[s]].T
                     rows, cols = np.nonzero((along >= COSINE * norm[large, None]) & (along >= self.reach[s]))
-                    out.update(zip(self.by[s][cols].tolist(), (at + large[rows] * BLOCK).tolist(), strict=True))
-        return out
+                    out.append(self.by[s][cols] << 40 | (at + large[rows] * BLOCK))
+        found = np.unique(np.concatenate(out))
+        return found >> 40, found & ((1 << 40) - 1)
+
+    def possible(self, piece: int, starts: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Those of the ``starts`` whose words around, in any order, have enough of the piece and of its answer: no subsequence is longer."""
+        own, count, answer = self.bags[piece]
+        self.lut[own] = np.arange(len(own))
+        local = self.lut[a]
+        self.lut[own] = -1
+        s, n = self.scale[piece], self.p.answers[piece]
+        local = np.concatenate([np.full(s // 2, -1), local, np.full(2 * s, -1)])
+        keep = []
+        for at in range(0, len(starts), 4096):
+            part = starts[at : at + 4096]
+            near = local[part[:, None] + np.arange(2 * s)]
+            rows, cols = np.nonzero(near >= 0)
+            bags = np.bincount(rows * len(own) + near[rows, cols], minlength=len(part) * len(own)).reshape(len(part), len(own))
+            enough = (np.minimum(bags, count).sum(axis=1) / len(self.p.ids[piece]) >= SHARE) & (np.minimum(bags, answer).sum(axis=1) >= ANSWER * n)
+            keep.append(part[enough])
+        return np.concatenate(keep)
 
     def matches(self, a: np.ndarray) -> dict[int, float]:
         """item: share of the piece's words in the best common subsequence, for the items that pass."""
         found: dict[int, float] = {}
         if not len(a):
             return found
-        for piece, at in sorted(self.candidates(a)):
-            ids = self.p.ids[piece]
-            pad = self.p.scale(piece) // 2
-            stream = a[max(0, at - pad) : at + self.p.scale(piece) + pad].tolist()
-            share = common(self.masks[piece], len(ids), stream) / len(ids)
-            if share >= SHARE and share > found.get(self.p.items[piece], 0):
-                n = self.p.answers[piece]
-                if common(self.tails[piece], n, stream) >= ANSWER * n:
+        pieces, starts = self.candidates(a)
+        cuts = np.nonzero(np.diff(pieces, prepend=-1, append=-1))[0]
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = int(pieces[first])
+            ids, pad, n = self.p.ids[piece], self.scale[piece] // 2, self.p.answers[piece]
+            for at in self.possible(piece, starts[first:end], a).tolist():
+                stream = a[max(0, at - pad) : at + 3 * pad].tolist()
+                share = common(self.masks[piece], len(ids), stream) / len(ids)
+                if share >= SHARE and share > found.get(self.p.items[piece], 0) and common(self.tails[piece], n, stream) >= ANSWER * n:
                     found[self.p.items[piece]] = share
         return found
 

@@ -69,20 +69,22 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("dict_idx")).select("dict_idx", "name")
 
 
-#: words of each line with jittered confidence; the engine's line number repeats every four lines
+#: jittered confidence; the word engine reads nothing of some prescriptions, and some are read badly by both
+WORD_CONF = "CAST(CASE WHEN rx_id % 3 = 0 THEN -1 WHEN rx_id % 7 = 6 THEN (rx_id + 7 * line_no + 11 * i + 13 * variant) % 49 ELSE (rx_id + 7 * line_no + 11 * i + 13 * variant) % 102 - 1 END AS int)"
+#: words of each line; the engine's line number repeats every four lines
 WORDS_SQL = f"""{LINES_SQL},
 words AS (
   SELECT rx_id, CAST(variant AS INTEGER) AS variant_idx, CAST(line_no * 100 + i AS INTEGER) AS word_idx, w AS text,
-    CAST((rx_id + 7 * line_no + 11 * i + 13 * variant) % 102 - 1 AS INTEGER) AS conf, CAST(line_no // 2 % 4 AS INTEGER) AS line_num
+    {WORD_CONF} AS conf, CAST(line_no // 2 % 4 AS INTEGER) AS line_num
   FROM (SELECT rx_id, line_no, variant, unnest(string_split(line, ' ')) AS w, unnest(range(0, len(string_split(line, ' ')))) AS i
-    FROM lines, (SELECT unnest(range(0, 2)) AS variant) WHERE rx_id % 5 = 1))"""
+    FROM lines, (SELECT unnest(range(0, 2)) AS variant)))"""
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rx_id, variant_idx, word_idx, text, conf, line_num: two variants of the words of a part of the prescriptions."""
-    rows = lines(spark, sf_dir).filter("rx_id % 5 = 1").withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
+    """rx_id, variant_idx, word_idx, text, conf, line_num: two variants of the words of all prescriptions."""
+    rows = lines(spark, sf_dir).withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.select("rx_id", "line_no", "variant", F.posexplode(F.split("line", " ")).alias("i", "w"))
-    return rows.selectExpr("rx_id", "variant AS variant_idx", "line_no * 100 + i AS word_idx", "w AS text", "CAST((rx_id + 7 * line_no + 11 * i + 13 * variant) % 102 - 1 AS int) AS conf", "CAST(line_no div 2 % 4 AS int) AS line_num")
+    return rows.selectExpr("rx_id", "variant AS variant_idx", "line_no * 100 + i AS word_idx", "w AS text", f"{WORD_CONF} AS conf", "CAST(line_no div 2 % 4 AS int) AS line_num")
 
 
 #: the same words as boxes: lines 20 apart, jitter within a line, words from left to right

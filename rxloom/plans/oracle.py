@@ -161,7 +161,7 @@ ORACLE = {
     "medicine_lines": f"WITH {PARSED} SELECT rx_id, line_no, name, dosage, full_name AS frequency, code AS frequency_code, times_per_day, duration_days, timing_notes, times FROM parsed",
     "schedules": f"WITH {PLANS} SELECT rx_id, line_no, medicine_name, CAST(start_date AS VARCHAR) AS start_date, CAST(CAST(end_date AS date) AS VARCHAR) AS end_date, days, array_to_string(daily, ' ') AS times, duration_days = 0 AS is_ongoing FROM plans",
     "dose_rows": f"WITH {PLANS}, d AS (SELECT rx_id, start_date, len(daily) AS n, unnest(range(0, days)) AS o FROM plans) SELECT rx_id, CAST(o + 1 AS INTEGER) AS day_number, CAST(sum(n) AS BIGINT) AS doses, CAST(CAST(min(start_date + CAST(o AS INTEGER)) AS date) AS VARCHAR) AS day FROM d GROUP BY rx_id, o",
-    "daily_slots": f"WITH {PLANS}, s AS ({_SLOTS} FROM plans), d AS (SELECT *, unnest(range(1, least(days, 5) + 1)) AS day_number FROM s) SELECT rx_id, CAST(day_number AS INTEGER) AS day_number, string_agg(concat_ws('|', time, medicine_name, dosage, timing_notes), ';' ORDER BY time, line_no, time_idx) AS slots FROM d GROUP BY rx_id, day_number",
+    "daily_slots": f"WITH {PLANS}, s AS ({_SLOTS} FROM plans), d AS (SELECT *, unnest(range(1, days + 1)) AS day_number FROM s) SELECT rx_id, CAST(day_number AS INTEGER) AS day_number, string_agg(concat_ws('|', time, medicine_name, dosage, timing_notes), ';' ORDER BY time, line_no, time_idx) AS slots FROM d GROUP BY rx_id, day_number",
     "daily_doses": f"WITH {PARSED} SELECT rx_id, CAST(sum(CASE WHEN times_per_day = 0 THEN 1 ELSE times_per_day END) AS BIGINT) AS daily_doses FROM parsed GROUP BY rx_id",
     "dose_progress": f"WITH {PLANS}, s AS ({_SLOTS} FROM plans) SELECT rx_id, count(*) AS total, count(*) FILTER (line_no % 2 = 0) AS taken, count(*) FILTER (line_no % 2 <> 0) AS remaining FROM s GROUP BY rx_id",
     "display_labels": f"""WITH {inputs.LINES_SQL}, v AS (SELECT *, CAST(rx_id % 101 AS double) / 100 AS c FROM lines) SELECT rx_id, line_no,
@@ -178,7 +178,7 @@ ORACLE = {
     "engine_texts": f"WITH {_ENGINES} SELECT rx_id, engine, variant_idx, text, avg_conf FROM et",
     "best_variants": f"WITH {_ENGINES} SELECT rx_id, engine, variant_idx, text, avg_conf FROM bv",
     "unread_documents": f"WITH {inputs.WORDS_SQL} SELECT o_orderkey AS rx_id FROM orders WHERE o_orderkey NOT IN (SELECT rx_id FROM words WHERE conf >= 50)",
-    "merge_choice": f"""WITH {_ENGINES}, p AS (SELECT rx_id, max(avg_conf) FILTER (engine = 'box') AS b, max(avg_conf) FILTER (engine = 'word') AS w FROM bv WHERE rx_id % 3 > 0 OR engine = 'box' GROUP BY rx_id)
+    "merge_choice": f"""WITH {_ENGINES}, p AS (SELECT rx_id, max(avg_conf) FILTER (engine = 'box') AS b, max(avg_conf) FILTER (engine = 'word') AS w FROM bv GROUP BY rx_id)
       SELECT rx_id, CASE WHEN w IS NULL OR b * 0.55::double >= w * 0.45::double THEN 'box' ELSE 'word' END AS primary_engine,
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN b * 0.55::double + w * 0.45::double ELSE coalesce(b, w) END AS conf,
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN 'box+word' WHEN w IS NULL THEN 'box' ELSE 'word' END AS engines FROM p""",
@@ -187,8 +187,8 @@ ORACLE = {
     "link_bands": f"""WITH {inputs.LINES_SQL}, v AS (SELECT rx_id, line_no, CASE WHEN line_no = 3 THEN ' ' ELSE line END AS name, rx_id % 9 > 0 AS has, CAST((rx_id + line_no) % 101 AS double) AS s FROM lines)
       SELECT rx_id, line_no, CASE WHEN has AND s >= 45 AND trim(name) <> '' THEN 'match' ELSE name END AS corrected_name, CASE WHEN trim(name) = '' THEN 0 WHEN has THEN s ELSE 50 END AS score,
       NOT (has AND s >= 85 AND trim(name) <> '') AS flagged FROM v""",
-    "model_lines": f"""WITH {inputs.LINES_SQL}, v AS (SELECT rx_id, line_no, regexp_replace(line, '\\s+', ' ', 'g') AS l FROM lines WHERE line_no = 1)
-      SELECT rx_id, CASE rx_id % 4 WHEN 0 THEN concat(l, ' ', line_no, chr(10), 'plain text') WHEN 1 THEN concat(l, ' OD')
+    "model_lines": f"""WITH {inputs.LINES_SQL}, v AS (SELECT rx_id, line_no, regexp_replace(line, '\\s+', ' ', 'g') AS l FROM lines)
+      SELECT rx_id, line_no, CASE rx_id % 4 WHEN 0 THEN concat(l, ' ', line_no, chr(10), 'plain text') WHEN 1 THEN concat(l, ' OD')
       WHEN 2 THEN concat_ws(chr(10), CASE WHEN length(l) >= 3 THEN l END, CASE WHEN length(l) >= 3 THEN l END, 'end of it') ELSE concat('{{broken ', l, '}}') END AS text FROM v""",
     "dictionary_search": "SELECT min(p_partkey) AS dict_idx, p_name AS name FROM part WHERE contains(lower(p_name), 'giz') GROUP BY p_name ORDER BY 1 LIMIT 5",
     "dictionary_sizes": f"WITH {_CODES} SELECT (SELECT count(DISTINCT p_name) FROM part) AS medicines, (SELECT count(*) FROM codes) AS codes",

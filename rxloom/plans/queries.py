@@ -105,8 +105,8 @@ def dose_rows(spark, sf_dir) -> DataFrame:
 
 
 def daily_slots(spark, sf_dir) -> DataFrame:
-    """The slots of each of the first five days, in order."""
-    rows = schedule.daily_schedules(schedule.doses(_plans(spark, sf_dir)).filter("day_number <= 5"))
+    """The slots of each day, in order."""
+    rows = schedule.daily_schedules(schedule.doses(_plans(spark, sf_dir)))
     return rows.select("rx_id", "day_number", F.array_join(F.transform("slots", lambda s: F.concat_ws("|", s["time"], s["medicine_name"], s["dosage"], s["timing_note"])), ";").alias("slots"))
 
 
@@ -186,7 +186,7 @@ def unread_documents(spark, sf_dir) -> DataFrame:
 
 def merge_choice(spark, sf_dir) -> DataFrame:
     """M1-M4."""
-    rows = merge.choose_primary(best_variants(spark, sf_dir).filter("rx_id % 3 > 0 OR engine = 'box'"))
+    rows = merge.choose_primary(best_variants(spark, sf_dir))
     return rows.select("rx_id", "primary_engine", F.col("avg_confidence").alias("conf"), F.array_join("engines_used", "+").alias("engines"))
 
 
@@ -236,8 +236,8 @@ def model_lines(spark, sf_dir) -> DataFrame:
         "WHEN 1 THEN concat('{\"a\": {\"b\": [{\"name\": \"', line, '\", \"freq\": \"  \", \"schedule\": \"OD\"}]}}') "
         "WHEN 2 THEN concat('<s_menu><s_nm>', line, '</s_nm>xy;', line, '<sep/>end of it</s_menu>') ELSE concat('{broken ', line, '}') END"
     )
-    rows = inputs.lines(spark, sf_dir).filter("line_no = 1").selectExpr("rx_id", f"{raw} AS raw")
-    return model_output.model_texts(rows)
+    rows = inputs.lines(spark, sf_dir).selectExpr("struct(rx_id, line_no) AS rx_id", f"{raw} AS raw")
+    return model_output.model_texts(rows).select("rx_id.rx_id", "rx_id.line_no", "text")
 
 
 def dictionary_search(spark, sf_dir) -> DataFrame:

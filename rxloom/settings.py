@@ -25,5 +25,5 @@ class Settings:
     default_time: str = "08:00"
     max_upload_mb: int = 10
     min_upload_bytes: int = 1000
-    #: Rows of a dictionary that are sent to every task at a time; a larger one is matched in turns.
+    #: Rows of a dictionary that a task holds at a time.
     dictionary_rows: int = 50_000

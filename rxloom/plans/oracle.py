@@ -90,8 +90,9 @@ WEAK = f"length(line) >= 6 AND NOT {noise('line')} AND NOT ({m('line', fixed.DOC
 
 _F = frequency("rest")
 _CODE_DROP = chain([(f"code = '{f[1]}' AND raw_match = '{f[1]}'", drop("rest", f[1], every=True)) for f in fixed.FREQUENCIES], "rest")
-PARSED = f"""{inputs.LINES_SQL},
-p0 AS MATERIALIZED (SELECT rx_id, line_no, {after_marker("line")} AS rest FROM lines WHERE {STRICT}),
+
+def _steps(where: str) -> str:
+    return f"""p0 AS MATERIALIZED (SELECT rx_id, line_no, {after_marker("line")} AS rest FROM lines WHERE {where}),
 p1 AS MATERIALIZED (SELECT rx_id, line_no, {strip(x("rest", fixed.DOSAGE, 0))} AS dosage, {chain([(m("rest", fixed.DOSAGE), drop("rest", fixed.DOSAGE))], "rest")} AS rest FROM p0),
 p2 AS MATERIALIZED (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _F.items())}, {timing("rest")} AS timing_notes FROM p1),
 p3 AS MATERIALIZED (SELECT * EXCLUDE (rest), CASE WHEN starts_with(code, 'INDIAN:') THEN {strip("replace(rest, raw_match, '')")} ELSE {_CODE_DROP} END AS rest FROM p2),
@@ -99,6 +100,9 @@ p4 AS MATERIALIZED (SELECT * EXCLUDE (rest), {days("rest")} AS duration_days, {a
 p5 AS MATERIALIZED (SELECT * EXCLUDE (rest), {after_timing("rest")} AS rest FROM p4),
 parsed AS (SELECT * FROM (SELECT * EXCLUDE (rest), trim(regexp_replace({drop("rest", fixed.FORM_PREFIX)}, '\\s{{2,}}', ' ', 'g'), ' ,;:-/\\') AS name FROM p5) WHERE length(name) >= 2)"""
 
+
+PARSED = f"""{inputs.LINES_SQL}, {_steps(STRICT)}"""
+
 PLANS = f"""{PARSED},
 starts AS (SELECT o_orderkey AS rx_id, CAST(o_orderdate AS date) AS start_date FROM orders),
 plans AS (
@@ -126,7 +130,7 @@ _HEADS = {"doctor_name": fixed.DOCTOR, "patient_name": fixed.PATIENT, "date": fi
 _SIM = "CASE WHEN a = '' OR b = '' THEN 0 ELSE 1 - levenshtein(lower(a), lower(b))::double / greatest(length(a), length(b)) END"
 
 
-def _cands(c: str) -> str:
+def _forms(c: str) -> str:
     forms = [c]
     for bad, good in fixed.MISREADS:
         at = f"instr(lower({c}), '{bad}')"
@@ -134,7 +138,11 @@ def _cands(c: str) -> str:
         forms.append(f"CASE WHEN {at} > 0 THEN replace(lower({c}), '{bad}', '{good}') END")
     letters = f"regexp_replace(lower({c}), '[^a-z]', '', 'g')"
     forms.append(f"CASE WHEN length({letters}) >= 4 THEN {letters} END")
-    return f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(forms)}], lambda v: v IS NOT NULL))), '|')"
+    return f"[{', '.join(forms)}]"
+
+
+def _cands(c: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter({_forms(c)}, lambda v: v IS NOT NULL))), '|')"
 
 
 def _cleaned(c: str) -> str:
@@ -142,6 +150,36 @@ def _cleaned(c: str) -> str:
     return f"CASE WHEN {out} = '' THEN {c} ELSE {out} END"
 
 
+def _sim(a: str, b: str) -> str:
+    """Twice the longest common subsequence in percent of both lengths: rows of its table as bits of whole numbers."""
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = ch THEN 1::HUGEINT << CAST(i - 1 AS INTEGER) ELSE 0::HUGEINT END))"
+    full = f"((1::HUGEINT << CAST(length({a}) AS INTEGER)) - 1)"
+    rows = f"list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda ch: CAST({mask} AS HUGEINT))), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE 200.0::double * (length({a}) - bit_count({rows})) / (length({a}) + length({b})) END"
+
+
+_WORDS = lambda c: f"list_distinct(list_filter(string_split_regex({c}, '\\s+'), lambda v: v <> ''))"
+_REST = lambda x, y: f"array_to_string(list_sort(list_filter({x}, lambda v: NOT list_contains({y}, v))), ' ')"
+#: name, match, score of the names in asked(name)
+LINKED = f"""dict AS (SELECT min(p_partkey) AS dict_idx, p_name AS entry FROM part GROUP BY p_name),
+l0 AS (SELECT DISTINCT name, {_cleaned("name")} AS c FROM asked),
+l1 AS (SELECT name, cand, min(pos) AS pos FROM (SELECT name, unnest({_forms("c")}) AS cand, unnest(range(0, len({_forms("c")}))) AS pos FROM l0) WHERE cand IS NOT NULL GROUP BY name, cand),
+l2 AS MATERIALIZED (SELECT *, {_WORDS("cand")} AS x, {_WORDS("entry")} AS y FROM (SELECT DISTINCT cand FROM l1), dict),
+l3 AS MATERIALIZED (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS b, {_REST("x", "y")} AS p, {_REST("y", "x")} AS q FROM l2),
+l4 AS MATERIALIZED (SELECT *, trim(b || ' ' || p) AS one, trim(b || ' ' || q) AS two FROM l3),
+l5 AS MATERIALIZED (SELECT cand, dict_idx, entry, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN b <> '' AND (p = '' OR q = '') THEN 100 ELSE greatest({_sim("one", "two")}, {_sim("b", "one")}, {_sim("b", "two")}) END AS score FROM l4),
+linked AS (SELECT name, entry AS match, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, pos, dict_idx) AS r FROM l1 JOIN l5 USING (cand)) WHERE r = 1)"""
+
+MEDICINES = f"""{inputs.LINES_SQL}, {_steps(f"({STRICT}) OR ({WEAK})")},
+m0 AS (SELECT *, bool_or(strict) OVER (PARTITION BY rx_id) AS any_strict FROM parsed JOIN (SELECT rx_id, line_no, ocr_conf, {STRICT} AS strict FROM lines) USING (rx_id, line_no)),
+m1 AS MATERIALIZED (SELECT * FROM m0 WHERE strict OR NOT any_strict),
+asked AS (SELECT DISTINCT name FROM m1), {LINKED},
+m2 AS (SELECT *, match <> '' AND score >= 45 AS guess, 0.4::double * ocr_conf + 0.6::double * score / 100 AS blend FROM m1 JOIN linked USING (name)),
+m3 AS (SELECT *, CASE WHEN guess THEN match ELSE name END AS corrected_name, NOT guess OR score < 85 OR blend < 0.55 OR NOT strict AS is_uncertain,
+  CAST(round(CAST(CAST(blend AS VARCHAR) AS DECIMAL(22, 20)), 3) AS DOUBLE) AS conf FROM m2),
+m4 AS (SELECT *, row_number() OVER (PARTITION BY rx_id, lower(trim(corrected_name)) ORDER BY line_no) AS r FROM m3),
+m5 AS (SELECT *, row_number() OVER (PARTITION BY rx_id ORDER BY line_no) AS r8 FROM m4 WHERE strict OR r = 1)"""
+
 _LOW_A, _LOW_B = fixed.LOW_CONFIDENCE.split("%s")
 _CODES_VALUES = ", ".join(f"({o}, '{c}', '{n}', {t}, {_list(a)})" for o, c, n, t, a in fixed.FREQUENCIES)
 _CODES = f"codes(ord, code, full_name, times_per_day, times) AS (VALUES {_CODES_VALUES})"
@@ -184,6 +222,9 @@ ORACLE = {
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN 'box+word' WHEN w IS NULL THEN 'box' ELSE 'word' END AS engines FROM p""",
     "line_similarities": f"WITH {inputs.LINES_SQL}, p AS (SELECT l.rx_id, l.line_no, l.line AS a, r.line AS b FROM lines l JOIN lines r ON l.rx_id = r.rx_id AND r.line_no = l.line_no + 1) SELECT rx_id, line_no, round({_SIM}, 6) AS similarity FROM p",
     "link_candidates": f"WITH d AS (SELECT min(p_partkey) AS dict_idx, p_name AS name FROM part GROUP BY p_name), r AS (SELECT dict_idx, concat('Tab ', translate(name, 'ols', '015'), ' ', cast(dict_idx % 3 * 4000 AS string)) AS raw FROM d), c AS (SELECT dict_idx, {_cleaned('raw')} AS cleaned FROM r) SELECT dict_idx, cleaned, {_cands('cleaned')} AS candidates FROM c",
+    "link_matches": f"WITH asked AS (SELECT DISTINCT translate(p_name, 'ols', '015') AS name FROM part), {LINKED} SELECT name, match, score FROM linked",
+    "medicines": f"""WITH {MEDICINES} SELECT rx_id, line_no, name, corrected_name, dosage, code AS frequency_code, CASE WHEN strict THEN times_per_day ELSE greatest(times_per_day, 1) END AS times_per_day, duration_days, timing_notes,
+      CASE WHEN times = '' AND NOT strict THEN '08:00' ELSE times END AS times, CASE WHEN strict THEN conf ELSE least(conf, 0.45::double) END AS confidence, is_uncertain, NOT strict AS lenient FROM m5 WHERE strict OR r8 <= 8""",
     "link_bands": f"""WITH {inputs.LINES_SQL}, v AS (SELECT rx_id, line_no, CASE WHEN line_no = 3 THEN ' ' ELSE line END AS name, rx_id % 9 > 0 AS has, CAST((rx_id + line_no) % 101 AS double) AS s FROM lines)
       SELECT rx_id, line_no, CASE WHEN has AND s >= 45 AND trim(name) <> '' THEN 'match' ELSE name END AS corrected_name, CASE WHEN trim(name) = '' THEN 0 WHEN has THEN s ELSE 50 END AS score,
       NOT (has AND s >= 85 AND trim(name) <> '') AS flagged FROM v""",

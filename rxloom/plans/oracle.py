@@ -127,7 +127,11 @@ bv AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY rx_i
 
 _SLOTS = "SELECT *, unnest(daily) AS time, unnest(range(0, len(daily))) AS time_idx"
 _HEADS = {"doctor_name": fixed.DOCTOR, "patient_name": fixed.PATIENT, "date": fixed.DATE}
-_SIM = "CASE WHEN a = '' OR b = '' THEN 0 ELSE 1 - levenshtein(lower(a), lower(b))::double / greatest(length(a), length(b)) END"
+
+
+def _line_sim(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE 1 - levenshtein(lower({a}), lower({b}))::double / greatest(length({a}), length({b})) END"
+
 
 
 def _forms(c: str) -> str:
@@ -220,7 +224,21 @@ ORACLE = {
       SELECT rx_id, CASE WHEN w IS NULL OR b * 0.55::double >= w * 0.45::double THEN 'box' ELSE 'word' END AS primary_engine,
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN b * 0.55::double + w * 0.45::double ELSE coalesce(b, w) END AS conf,
       CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN 'box+word' WHEN w IS NULL THEN 'box' ELSE 'word' END AS engines FROM p""",
-    "line_similarities": f"WITH {inputs.LINES_SQL}, p AS (SELECT l.rx_id, l.line_no, l.line AS a, r.line AS b FROM lines l JOIN lines r ON l.rx_id = r.rx_id AND r.line_no = l.line_no + 1) SELECT rx_id, line_no, round({_SIM}, 6) AS similarity FROM p",
+    "line_similarities": f"WITH {inputs.LINES_SQL}, p AS (SELECT l.rx_id, l.line_no, l.line AS a, r.line AS b FROM lines l JOIN lines r ON l.rx_id = r.rx_id AND r.line_no = l.line_no + 1) SELECT rx_id, line_no, round({_line_sim('a', 'b')}, 6) AS similarity FROM p",
+    "merged_texts": f"""WITH RECURSIVE {_ENGINES},
+      pc AS (SELECT rx_id, max(avg_conf) FILTER (engine = 'box') AS b, max(avg_conf) FILTER (engine = 'word') AS w FROM bv GROUP BY rx_id),
+      pe AS (SELECT rx_id, CASE WHEN w IS NULL OR b * 0.55::double >= w * 0.45::double THEN 'box' ELSE 'word' END AS primary_engine, CASE WHEN b IS NOT NULL AND w IS NOT NULL THEN b * 0.55::double + w * 0.45::double ELSE coalesce(b, w) END AS conf FROM pc),
+      ln AS (SELECT eb.rx_id, eb.engine, list({{'t': eb.text, 'c': round(confidence, 10)}} ORDER BY line_num) AS l FROM eb JOIN bv ON eb.rx_id = bv.rx_id AND eb.engine = bv.engine AND eb.variant_idx = bv.variant_idx WHERE trim(eb.text) <> '' GROUP BY ALL),
+      pr AS MATERIALIZED (SELECT pe.*, f.l AS prim, s.l AS sec, bv.text AS own FROM pe JOIN bv ON bv.rx_id = pe.rx_id AND bv.engine = primary_engine LEFT JOIN ln f ON f.rx_id = pe.rx_id AND f.engine = primary_engine LEFT JOIN ln s ON s.rx_id = pe.rx_id AND s.engine <> primary_engine),
+      step(rx_id, i, used, told) AS (
+        SELECT rx_id, 1, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM pr WHERE sec IS NOT NULL
+        UNION ALL
+        SELECT rx_id, i + 1, CASE WHEN best > 0.5 THEN list_append(used, j) ELSE used END, list_append(told, CASE WHEN best > 0.5 AND sec[j].c > prim[i].c THEN sec[j].t ELSE prim[i].t END) FROM (
+          SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS j FROM (
+            SELECT rx_id, i, used, told, prim, sec, list_transform(range(1, len(sec) + 1), lambda k: CASE WHEN list_contains(used, k) THEN 0 ELSE {_line_sim("prim[i].t", "sec[k].t")} END) AS sims
+            FROM step JOIN pr USING (rx_id) WHERE i <= len(prim)))),
+      last AS (SELECT rx_id, arg_max(told, i) AS told FROM step GROUP BY rx_id)
+      SELECT pr.rx_id, CASE WHEN sec IS NOT NULL THEN array_to_string(told, chr(10)) ELSE own END AS text, round(conf, 12) AS conf, primary_engine FROM pr LEFT JOIN last USING (rx_id)""",
     "link_candidates": f"WITH d AS (SELECT min(p_partkey) AS dict_idx, p_name AS name FROM part GROUP BY p_name), r AS (SELECT dict_idx, concat('Tab ', translate(name, 'ols', '015'), ' ', cast(dict_idx % 3 * 4000 AS string)) AS raw FROM d), c AS (SELECT dict_idx, {_cleaned('raw')} AS cleaned FROM r) SELECT dict_idx, cleaned, {_cands('cleaned')} AS candidates FROM c",
     "link_matches": f"WITH asked AS (SELECT DISTINCT translate(p_name, 'ols', '015') AS name FROM part), {LINKED} SELECT name, match, score FROM linked",
     "medicines": f"""WITH {MEDICINES} SELECT rx_id, line_no, name, corrected_name, dosage, code AS frequency_code, CASE WHEN strict THEN times_per_day ELSE greatest(times_per_day, 1) END AS times_per_day, duration_days, timing_notes,

@@ -198,10 +198,10 @@ def line_similarities(spark, sf_dir) -> DataFrame:
 
 
 def merged_texts(spark, sf_dir) -> DataFrame:
-    """M6, M7."""
+    """M6, M7: confidences as rounded, so that equal ones are equal."""
     rows = best_variants(spark, sf_dir)
-    blocks = _engines(spark, sf_dir).join(rows.select("rx_id", "engine", "variant_idx"), ["rx_id", "engine", "variant_idx"])
-    return merge.merged_texts(rows, blocks).select("rx_id", "text", F.round("avg_confidence", 6).alias("conf"), "primary_engine")
+    blocks = _rounded(_engines(spark, sf_dir)).join(rows.select("rx_id", "engine", "variant_idx"), ["rx_id", "engine", "variant_idx"])
+    return merge.merged_texts(rows, blocks).select("rx_id", "text", F.round("avg_confidence", 12).alias("conf"), "primary_engine")
 
 
 def link_candidates(spark, sf_dir) -> DataFrame:

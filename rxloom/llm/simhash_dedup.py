@@ -184,17 +184,19 @@ def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
     return links.union(pairs.select("ra", "rb"))
 
 
-def verified(members: DataFrame) -> DataFrame:
+def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of the texts of each group that connect all pairs with a Jaccard similarity of 0.8 or more.
 
-    ``members``: comp, node, t. A group of m texts has m / BLOCK blocks; a task
-    compares two blocks, without pairs that its earlier links connect already.
+    ``near``: comp, node; ``texts``: node, t. A group of m texts has m / BLOCK
+    blocks; a task compares two blocks, without pairs that its earlier links
+    connect already. The groups grow with the documents, so they are merged with
+    the texts by a shuffle at every size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [_distinct(list(_hashes(t.as_py(), STAGE_WORDS))).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["comp", "node", "own"])
+            sets = [_distinct(list(_hashes(t.as_py(), STAGE_WORDS))).tobytes() for t in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["comp", "blocks", "blk", "node", "own"])
 
     def compare(t: pa.Table) -> pa.Table:
         nodes, blocks = t.column("node").to_pylist(), t.column("blk").to_pylist()
@@ -219,9 +221,9 @@ def verified(members: DataFrame) -> DataFrame:
                     out.append((nodes[x], nodes[y]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.mapInArrow(run, "comp long, node long, own binary").join(sizes, "comp")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+    sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = near.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+    rows = texts.join(rows.hint("merge"), "node").select("comp", "blocks", "blk", "node", "t").mapInArrow(run, "comp long, blocks int, blk int, node long, own binary")
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "own")
     return rows.groupBy("comp", "i", "j").applyInArrow(compare, "a long, b long")
@@ -244,11 +246,12 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = rows.select("key", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc").alias("tie"))
     classes = found.join(order, "key").groupBy("digest").agg(F.min(best("key")).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = scratch.save(classes.select("best", "best.node", "fp", "bands"), "classes")
-    near = components(Scratch(spark, "dedup"), candidates(scratch, classes)).select("node", F.col("component").alias("comp"))
-    members = near.join(rows.select(F.col("key").alias("node"), F.col("doc.text").cast("binary").alias("t")), "node").select("comp", "node", "t")
-    comps = components(Scratch(spark, "dedup"), scratch.save(verified(members), "links"))
+    near = components(Scratch(spark, "dedup"), candidates(scratch, classes)).select(F.col("component").alias("comp"), "node")
+    links = verified(near, rows.select(F.col("key").alias("node"), F.col("doc.text").cast("binary").alias("t")))
+    comps = components(Scratch(spark, "dedup"), scratch.save(links, "links"))
     kept = classes.select("node", "best").join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min("best").alias("best"))
     kept = scratch.save(kept.select(F.col("best.node").alias("key")), "kept")
     for name in ("signatures", "classes", "bands", "reps", "groups", "links"):
         scratch.drop(name)
-    return rows.join(kept, "key", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    # as many keys as documents stay: merged, not sent to every task
+    return rows.join(kept.hint("merge"), "key", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +16,27 @@ CODES = "ord int, code string, full_name string, times_per_day int, default_time
 MOST_CODES = 1000
 
 
+def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
+    """The columns of a Parquet table, which is read once to see whether it can be; None where it cannot, whatever the reason."""
+    try:
+        rows = spark.read.parquet(path).select(*columns)
+        rows.agg(*[F.bit_xor(F.xxhash64(c)) for c in columns]).collect()
+    except (PySparkException, Py4JJavaError):
+        return None
+    return rows
+
+
 def medicine_names(spark: SparkSession, path: str, fallback: list[str] | None = None) -> DataFrame:
     """(dict_idx, name) of a Parquet dictionary; of ``fallback`` where it cannot be read."""
-    try:
-        return spark.read.parquet(path).select("dict_idx", "name")
-    except AnalysisException:
-        if fallback is None:
-            raise
-        return spark.createDataFrame(list(enumerate(fallback)), "dict_idx long, name string")
+    rows = _read(spark, path, ["dict_idx", "name"])
+    if rows is None and fallback is None:
+        return spark.read.parquet(path).select("dict_idx", "name")  # fails as it should
+    return spark.createDataFrame(list(enumerate(fallback)), "dict_idx long, name string") if rows is None else rows
 
 
 def frequency_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The frequency dictionary, null lists as empty ones; the built-in one without a readable path."""
-    try:
-        rows = spark.read.parquet(path) if path else None
-    except AnalysisException:
-        rows = None
+    rows = _read(spark, path, [c.split()[0] for c in CODES.split(", ")]) if path else None
     if rows is None:
         rows = spark.createDataFrame(fixed.FREQUENCIES, CODES)
     return rows.withColumn("default_times", F.coalesce("default_times", F.expr("cast(array() as array<string>)")))

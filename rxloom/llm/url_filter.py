@@ -18,7 +18,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: The fit takes at most this many labelled URLs: those of the smallest hashes.
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
-FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix_share", "f_suffix_block"]
+FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", *[f"f_{k}_{what}" for k in ("suffix", "domain", "head") for what in ("share", "block")]]
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,24 +61,26 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE, withheld: Column | None = None) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict.
 
-    Suffix statistics are counted over all rows by a host's last label: its share
-    of them, and the share of blocked among its labelled rows, smoothed and
-    without the row itself. Null and malformed URLs have empty host and path and
+    Suffix statistics are counted over all rows by a host's last label, by its last
+    two, and by the path's first part: the share of rows that have it, and the
+    share of blocked among those labelled, smoothed and without the row itself. Null and malformed URLs have empty host and path and
     are judged by the trees like others. Where rules label nothing every
     unlabelled URL is allowed; where they label one way it gets that verdict.
+    ``withheld`` rows are judged by the trees and are no labels, whatever the
+    rules say of them: so the trees' accuracy can be measured.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.lit(False).alias("held") if withheld is None else F.coalesce(withheld, F.lit(False)).alias("held"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "suffix": F.substring_index("host", ".", -1)})
+    rows = rows.withColumns({"rule": rule, "ruled": F.when(~F.col("held"), verdict), "suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "head": F.regexp_extract("path", "^/?([^/]*)", 1)})
     y = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0)
     rows = rows.withColumn("y", y)
-    stats = scratch.save(rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("blocked")), "suffixes")
-    total = stats.agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("blocked").alias("blocked")).first()
+    stats = {k: scratch.save(rows.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("blocked")), k) for k in ("suffix", "domain", "head")}
+    total = stats["suffix"].agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("blocked").alias("blocked")).first()
     known, blocked = total["known"] or 0, total["blocked"] or 0.0
     keep = ["id", "host", "path", "rule"]
     if not known or blocked in (0, known):
@@ -86,11 +88,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "p
 
     prior = blocked / known
     own = F.when(F.col("y").isNull(), 0).otherwise(1)
-    rows = rows.join(stats, "suffix").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
-    rows = rows.withColumns({
-        "f_suffix_share": F.col("n") / total["n"],
-        "f_suffix_block": (F.col("blocked") - F.coalesce("y", F.lit(0.0)) + 5 * prior) / (F.col("known") - own + 5),
-    })
+    rows = rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+    for k, counts in stats.items():
+        block = (F.col("blocked") - F.coalesce("y", F.lit(0.0)) + 5 * prior) / (F.col("known") - own + 5)
+        rows = rows.join(counts, k).withColumns({f"f_{k}_share": F.col("n") / total["n"], f"f_{k}_block": block}).drop("n", "known", "blocked")
     taken = rows.filter("y is not null").orderBy(F.xxhash64("url"), "url", "id").limit(sample).select("y", *FEATURES)
     taken = scratch.save(taken, "sample")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")

@@ -350,6 +350,38 @@ def test_url_rules(spark, url, host, path, rule, verdict):
     assert tuple(row.select("h", "p", name, said).first()) == (host, path, rule, verdict)
 
 
+OP7_RULES_SQL = """
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS p FROM pages),
+r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, rest, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM r),
+k AS (SELECT page_id, host, regexp_extract(substr(rest, length(host) + 1), '(?s)^[^?#]*') AS path FROM h),
+d AS (SELECT unnest(['net', 'example.net', 'example.com', 'org']) AS dom, unnest(['/', '/en/', '/de/', '/fr/']) AS pre, unnest(['block', 'allow', 'block', 'allow']) AS said)
+SELECT page_id, host, path, (SELECT arg_max(dom || pre, length(dom || pre)) FROM d WHERE (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre)) AS rule,
+  (SELECT arg_max(said, length(dom || pre)) FROM d WHERE (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre)) AS ruled FROM k
+"""
+
+
+def test_hosts_paths_and_rules_equal_sql(spark):
+    """All but the trees' verdicts of the whole table."""
+    sf = "/root/testdata/sf0.1"
+    found = url_filter.op7_url_filter(spark, sf)
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
+    same(found.select("page_id", "host", "path", "rule", ruled), OP7_RULES_SQL, sf)
+    assert {r["verdict"] for r in found.select("verdict").distinct().collect()} == {"block", "allow"}
+
+
+def test_trees_on_withheld_labels(spark):
+    """A fifth of the labelled URLs is neither counted nor fitted; the trees say of most what the rules do."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    held = F.crc32(F.col("page_id").cast("string")) % 5 == 0
+    told = url_filter.judged(pages, url_filter.RULES, withheld=held).filter(F.col("rule").isNotNull() & (F.crc32(F.col("id").cast("string")) % 5 == 0))
+    rows = [("block" if r["rule"] in ("net/", "example.com/de/") else "allow", r["verdict"]) for r in told.collect()]
+    assert {a for a, _ in rows} == {"block", "allow"}
+    right = np.mean([a == b for a, b in rows])
+    print(f"{len(rows)} withheld URLs, {right:.4f} right", {(a, b): rows.count((a, b)) for a in ("block", "allow") for b in ("block", "allow")})
+    assert right >= 0.9
+
+
 def test_trees_learn_from_labelled_urls(spark):
     """Hosts with digits are blocked by rule; the trees block others like them."""
     rows = [(i, f"http://a{i}x{i * 7}.bad/p{i}?a={i}&b={i}") for i in range(200)] + [(1000 + i, f"http://{'name' * (1 + i % 3)}.good/{'word/' * (i % 4)}") for i in range(200)]

@@ -24,7 +24,7 @@ STAGES = [
     ("source mixing", mixing_stage),
 ]
 
-#: SQL cannot express the first three stages; tests hold each against a brute-force version.
+#: SQL cannot express the first three stages; tests/llm/test_stages.py holds each against plain versions or planted rows.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from conftest import SF
 
-from rxloom.llm import decontamination, simhash_dedup
+from rxloom.llm import decontamination, quality_classifier, simhash_dedup, source_mixing
 
 DOCS = "doc_id long, text string"
 VOCABULARY = [f"w{i:04d}" for i in range(5000)]
@@ -85,3 +85,20 @@ def test_decontamination_in_turns_equals_one_turn(spark):
     told = lambda at_once: sorted(((r["id"], r["items"], round(r["best"], 9)) for r in decontamination.contamination(docs, bench, at_once=at_once).collect()), key=repr)
     assert told(1) == told(20_000)
     assert len(told(20_000)) == docs.count()
+
+
+def test_quality_stage_keeps_what_scores_enough(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.op6_quality_classifier(spark, SF).collect()}
+    kept = [tuple(r) for r in quality_classifier.quality_stage(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted(tuple(r) for r in docs.collect() if scores[r["doc_id"]] >= quality_classifier.THRESHOLD)
+    assert 0 < len(kept) < len(scores)
+
+
+def test_mixing_stage_gives_every_row_its_slots(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["start", "block", "slot", "last_slot"]
+    expected = {r["doc_id"]: tuple(r[n] for n in names) for r in source_mixing.op10_source_mixing(spark, SF).collect()}
+    found = source_mixing.mixing_stage(spark, docs, SF)
+    assert found.columns == [*docs.columns, *[f"mix_{n}" for n in names]]
+    assert {r["doc_id"]: tuple(r[f"mix_{n}"] for n in names) for r in found.collect()} == expected

@@ -15,7 +15,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.llm.common import Scratch, components
@@ -158,19 +159,20 @@ def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(key, digest of the set of shingles, fp, bands) of (key, t); texts without a word have no bands."""
+    """(digest of the set of shingles, fp, bands) in place of the last column, t; texts without a word have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.column(1):
+            for t in batch.column(batch.num_columns - 1):
                 chunks = list(_hashes(t.as_py(), STAGE_WORDS))
                 own = _distinct(chunks)
                 out.append((xxhash.xxh3_128_digest(own.tobytes()), _simhash(chunks), bands(own) if len(own) else []))
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], ["key", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], [*rest, "digest", "fp", "bands"])
 
-    return rows.mapInArrow(run, "key long, digest binary, fp long, bands array<long>")
+    rest = rows.columns[:-1]
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["digest binary", "fp long", "bands array<long>"]))
 
 
 def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
@@ -187,20 +189,16 @@ def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
 def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of the texts of each group that connect all pairs with a Jaccard similarity of 0.8 or more.
 
-    ``near``: comp, node; ``texts``: node, t. A group of m texts has m / BLOCK
-    blocks; a task compares two blocks, without pairs that its earlier links
-    connect already. The groups grow with the documents, so they are merged with
-    the texts by a shuffle at every size.
+    ``near``: comp, node, file, at; ``texts``: file, at, t. A group of m texts has
+    m / BLOCK blocks; a task compares two blocks, without pairs that its earlier
+    links connect already. The groups grow with the documents, so they are merged
+    with the texts by a shuffle at every size. Texts travel, which compress, and
+    not the hashes of their shingles, which don't.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_distinct(list(_hashes(t.as_py(), STAGE_WORDS))).tobytes() for t in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["comp", "blocks", "blk", "node", "own"])
-
     def compare(t: pa.Table) -> pa.Table:
         nodes, blocks = t.column("node").to_pylist(), t.column("blk").to_pylist()
-        sets = [frozenset(np.frombuffer(x, dtype=np.uint64).tolist()) for x in t.column("own").to_pylist()]
+        sets = [frozenset(_distinct(list(_hashes(x.as_py(), STAGE_WORDS))).tolist()) for x in t.column("t")]
         root, out, two = list(range(len(nodes))), [], len(set(blocks)) > 1
 
         def find(n: int) -> int:
@@ -223,35 +221,49 @@ def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
 
     sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = near.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
-    rows = texts.join(rows.hint("merge"), "node").select("comp", "blocks", "blk", "node", "t").mapInArrow(run, "comp long, blocks int, blk int, node long, own binary")
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "own")
+    rows = texts.join(rows.hint("merge"), ["file", "at"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "t")
     return rows.groupBy("comp", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc, file, at) of a table read from Parquet: the row, and its place in a file of that hash."""
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group that near duplicates connect: that of the smallest doc_id, null being the largest.
 
-    Rows get a key of their own, so repeated and null ids are rows like others.
-    Texts without a word are copies of each other.
+    Rows go by their places in the files that ``docs`` reads, so repeated and null
+    ids are rows like others. Where ``docs`` isn't read from files, or places aren't
+    unique, it is written first. Texts without a word are copies of each other.
     """
     scratch = Scratch(spark, "dedup")
-    column = lambda c: F.col(f"`{c}`")
-    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[column(c) for c in docs.columns]).alias("doc")), "rows")
-    found = scratch.save(signatures(rows.select("key", F.col("doc.text").cast("binary").alias("t"))), "signatures")
-
-    def best(key: str) -> Column:
-        return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"), F.col(key).alias("node"))
 
-    order = rows.select("key", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc").alias("tie"))
-    classes = found.join(order, "key").groupBy("digest").agg(F.min(best("key")).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    def signed() -> tuple[DataFrame, DataFrame]:
+        rows = placed(docs)
+        found = rows.select(F.monotonically_increasing_id().alias("key"), "file", "at", F.col("doc.doc_id").alias("id"), F.xxhash64("doc").alias("tie"), F.col("doc.text").cast("binary").alias("t"))
+        return rows, scratch.save(signatures(found), "signatures")
+
+    try:
+        rows, found = signed()
+        whole = found.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    except AnalysisException:
+        whole = False
+    if not whole:
+        docs = scratch.save(docs, "rows")
+        rows, found = signed()
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "tie", F.col("key").alias("node"))
+    classes = found.groupBy("digest").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = scratch.save(classes.select("best", "best.node", "fp", "bands"), "classes")
     near = components(Scratch(spark, "dedup"), candidates(scratch, classes)).select(F.col("component").alias("comp"), "node")
-    links = verified(near, rows.select(F.col("key").alias("node"), F.col("doc.text").cast("binary").alias("t")))
+    places = found.select(F.col("key").alias("node"), "file", "at")
+    links = verified(near.join(places, "node"), rows.select("file", "at", F.col("doc.text").cast("binary").alias("t")))
     comps = components(Scratch(spark, "dedup"), scratch.save(links, "links"))
     kept = classes.select("node", "best").join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min("best").alias("best"))
-    kept = scratch.save(kept.select(F.col("best.node").alias("key")), "kept")
+    kept = scratch.save(kept.select("best.node").join(places, "node").select("file", "at"), "kept")
     for name in ("signatures", "classes", "bands", "reps", "groups", "links"):
         scratch.drop(name)
-    # as many keys as documents stay: merged, not sent to every task
-    return rows.join(kept.hint("merge"), "key", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    # as many places as documents stay: merged, not sent to every task
+    return rows.join(kept.hint("merge"), ["file", "at"], "left_semi").select("doc.*")

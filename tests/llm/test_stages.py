@@ -67,6 +67,20 @@ def test_dedup_stage_whatever_the_ids(spark):
     assert sorted((r["text"] for r in found.collect())) == sorted([one, two, three])
 
 
+def test_dedup_stage_on_files_and_beyond(spark, tmp_path):
+    """Places in files are the rows' keys; rows that share one, and tables without files, do as well."""
+    texts = [" ".join(made(np.random.default_rng(k), 40)) for k in range(6)]
+    rows = [(k, texts[k % 6], "x", k) for k in range(30)]
+    spark.createDataFrame(rows, f"{DOCS}, `_metadata` string, file long").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    twice = docs.selectExpr("explode(array(0, 100)) as more", "*").selectExpr("doc_id + more as doc_id", "text", "_metadata", "file")
+    for given in (docs, twice, docs.union(docs), docs.filter("doc_id < 20"), spark.createDataFrame(rows, docs.schema)):
+        found = simhash_dedup.dedup_stage(spark, given, SF)
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect())) == rows[:6]
+    assert simhash_dedup.dedup_stage(spark, docs.filter("doc_id < 0"), SF).count() == 0
+
+
 def test_decontamination_stage_whatever_the_ids(spark):
     """A leak goes with a null id too, and a clean row stays beside a leak of the same id."""
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 60").orderBy("item_id").first()["text"]

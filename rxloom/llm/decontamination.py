@@ -42,6 +42,8 @@ SHARE, ANSWER = 0.6, 0.5
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
 #: Sketches that are summed up: so many for each core, however many parts the texts have.
 SKETCHES = 3
+#: Words of a document whose windows are weighed against the pieces together, before each window is.
+SEGMENT = 256
 _STEP = 1 << 15
 _SPLIT = bytes(32 if not (chr(c).isalnum() or c >= 128) else ord(chr(c).lower()) for c in range(256))
 
@@ -221,6 +223,13 @@ class Search:
         for i, n in zip(pieces.ids, pieces.answers, strict=True):
             own, at = np.unique(i, return_inverse=True)
             self.bags.append((own, np.bincount(at), np.bincount(at[-n:], minlength=len(own))))
+        # the same by word: rows first[w] to first[w + 1] have the pieces with word w
+        word = np.concatenate([own for own, _, _ in self.bags])
+        order = np.argsort(word, kind="stable")
+        self.first = np.searchsorted(word[order], np.arange(len(pieces.vocab) + 1))
+        self.owner = np.repeat(np.arange(len(self.bags)), [len(own) for own, _, _ in self.bags])[order]
+        self.count, self.answer = (np.concatenate([bag[k] for bag in self.bags])[order] for k in (1, 2))
+        self.sizes, self.answers = np.array([len(i) for i in pieces.ids]), np.array(pieces.answers)
         self.masks = [masks_of(i) for i in pieces.ids]
         self.tails = [masks_of(i[-n:]) for i, n in zip(pieces.ids, pieces.answers, strict=True)]
 
@@ -246,6 +255,26 @@ class Search:
         found = np.unique(np.concatenate(out))
         return found >> 40, found & ((1 << 40) - 1)
 
+    def within(self, part: np.ndarray) -> np.ndarray:
+        """Whether the words of ``part``, in any order, have enough of each piece and of its answer."""
+        own, have = np.unique(part[part < len(self.first) - 1], return_counts=True)
+        length = self.first[own + 1] - self.first[own]
+        at = np.repeat(self.first[own] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        have, owner = np.repeat(have, length), self.owner[at]
+        share = np.bincount(owner, np.minimum(have, self.count[at]), minlength=len(self.sizes)) / self.sizes
+        return (share >= SHARE) & (np.bincount(owner, np.minimum(have, self.answer[at]), minlength=len(self.sizes)) >= ANSWER * self.answers)
+
+    def held(self, pieces: np.ndarray, starts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates whose segment, with the words that its windows' surroundings reach, has enough of their piece."""
+        segment, keep, pad = starts // SEGMENT, np.zeros(len(starts), dtype=bool), SCALES[-1] // 2
+        order = np.argsort(segment, kind="stable")
+        cuts = np.nonzero(np.diff(segment[order], prepend=-1, append=-1))[0]
+        for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = order[first:end]
+            at = int(segment[some[0]]) * SEGMENT
+            keep[some] = self.within(a[max(0, at - pad) : at + SEGMENT + 3 * pad])[pieces[some]]
+        return pieces[keep], starts[keep]
+
     def possible(self, piece: int, starts: np.ndarray, a: np.ndarray) -> np.ndarray:
         """Those of the ``starts`` whose words around, in any order, have enough of the piece and of its answer: no subsequence is longer."""
         own, count, answer = self.bags[piece]
@@ -269,7 +298,7 @@ class Search:
         found: dict[int, float] = {}
         if not len(a):
             return found
-        pieces, starts = self.candidates(a)
+        pieces, starts = self.held(*self.candidates(a), a)
         cuts = np.nonzero(np.diff(pieces, prepend=-1, append=-1))[0]
         for first, end in zip(cuts[:-1], cuts[1:], strict=True):
             piece = int(pieces[first])

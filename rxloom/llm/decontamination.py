@@ -14,7 +14,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -44,7 +44,10 @@ ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
 SKETCHES = 3
 #: Words of a document whose windows are weighed against the pieces together, before each window is.
 SEGMENT = 256
+#: Blanks between documents that are searched together: no window's surroundings reach the next one.
+APART = 3 * SCALES[-1] // 2
 _STEP = 1 << 15
+_PRODUCTS = 1 << 22
 _SPLIT = bytes(32 if not (chr(c).isalnum() or c >= 128) else ord(chr(c).lower()) for c in range(256))
 
 
@@ -209,7 +212,7 @@ def masks_of(ids: list[int]) -> dict[int, int]:
 
 
 class Search:
-    """Finds pieces in one document at a time."""
+    """Finds pieces in documents, of which it lays short ones end to end."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
@@ -223,12 +226,11 @@ class Search:
         for i, n in zip(pieces.ids, pieces.answers, strict=True):
             own, at = np.unique(i, return_inverse=True)
             self.bags.append((own, np.bincount(at), np.bincount(at[-n:], minlength=len(own))))
-        # the same by word: rows first[w] to first[w + 1] have the pieces with word w
-        word = np.concatenate([own for own, _, _ in self.bags])
-        order = np.argsort(word, kind="stable")
-        self.first = np.searchsorted(word[order], np.arange(len(pieces.vocab) + 1))
-        self.owner = np.repeat(np.arange(len(self.bags)), [len(own) for own, _, _ in self.bags])[order]
-        self.count, self.answer = (np.concatenate([bag[k] for bag in self.bags])[order] for k in (1, 2))
+        # the same as rows of equal length
+        shape = (len(pieces.ids), max(len(own) for own, _, _ in self.bags))
+        self.words, self.count, self.answer = np.full(shape, len(pieces.vocab), np.int32), np.zeros(shape, np.int16), np.zeros(shape, np.int16)
+        for i, (own, count, answer) in enumerate(self.bags):
+            self.words[i, : len(own)], self.count[i, : len(own)], self.answer[i, : len(own)] = own, count, answer
         self.sizes, self.answers = np.array([len(i) for i in pieces.ids]), np.array(pieces.answers)
         self.masks = [masks_of(i) for i in pieces.ids]
         self.tails = [masks_of(i[-n:]) for i, n in zip(pieces.ids, pieces.answers, strict=True)]
@@ -249,65 +251,95 @@ class Search:
                 if len(self.by[s]):
                     norm = np.sqrt(np.einsum("ij,ij->i", level[:starts], level[:starts]))
                     large = np.nonzero(norm >= self.reach[s].min())[0]
-                    along = level[large] @ self.p.vectors[self.by[s]].T
-                    rows, cols = np.nonzero((along >= COSINE * norm[large, None]) & (along >= self.reach[s]))
-                    out.append(self.by[s][cols] << 40 | (at + large[rows] * BLOCK))
+                    for few in np.array_split(large, -(-len(large) * len(self.by[s]) // _PRODUCTS)) if len(large) else ():
+                        along = level[few] @ self.p.vectors[self.by[s]].T
+                        rows, cols = np.nonzero((along >= COSINE * norm[few, None]) & (along >= self.reach[s]))
+                        out.append(self.by[s][cols] << 40 | (at + few[rows] * BLOCK))
         found = np.unique(np.concatenate(out))
         return found >> 40, found & ((1 << 40) - 1)
 
-    def within(self, part: np.ndarray) -> np.ndarray:
-        """Whether the words of ``part``, in any order, have enough of each piece and of its answer."""
-        own, have = np.unique(part[part < len(self.first) - 1], return_counts=True)
-        length = self.first[own + 1] - self.first[own]
-        at = np.repeat(self.first[own] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        have, owner = np.repeat(have, length), self.owner[at]
-        share = np.bincount(owner, np.minimum(have, self.count[at]), minlength=len(self.sizes)) / self.sizes
-        return (share >= SHARE) & (np.bincount(owner, np.minimum(have, self.answer[at]), minlength=len(self.sizes)) >= ANSWER * self.answers)
-
-    def held(self, pieces: np.ndarray, starts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The candidates whose segment, with the words that its windows' surroundings reach, has enough of their piece."""
+    def held(self, pieces: np.ndarray, starts: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Which candidates' segments, with the words that their surroundings reach, have enough of the piece and of its answer, in any order."""
         segment, keep, pad = starts // SEGMENT, np.zeros(len(starts), dtype=bool), SCALES[-1] // 2
         order = np.argsort(segment, kind="stable")
         cuts = np.nonzero(np.diff(segment[order], prepend=-1, append=-1))[0]
+        bag = np.zeros(len(self.p.vocab) + 1, dtype=np.int64)
         for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             some = order[first:end]
             at = int(segment[some[0]]) * SEGMENT
-            keep[some] = self.within(a[max(0, at - pad) : at + SEGMENT + 3 * pad])[pieces[some]]
-        return pieces[keep], starts[keep]
-
-    def possible(self, piece: int, starts: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """Those of the ``starts`` whose words around, in any order, have enough of the piece and of its answer: no subsequence is longer."""
+            own, have = np.unique(a[max(0, at - pad) : at + SEGMENT + 3 * pad], return_counts=True)
+            bag[own] = have
+            # candidates come by piece
+            near = np.concatenate(([True], np.diff(pieces[some]) != 0))
+            p = pieces[some[near]]
+            found = bag[self.words[p]]
+            enough = (np.minimum(found, self.count[p]).sum(axis=1) / self.sizes[p] >= SHARE) & (np.minimum(found, self.answer[p]).sum(axis=1) >= ANSWER * self.answers[p])
+            keep[some] = enough[np.cumsum(near) - 1]
+            bag[own] = 0
+        return keep
+
+    def possible(self, piece: int, starts: np.ndarray, padded: np.ndarray) -> np.ndarray:
+        """Those of the ``starts`` whose words around, in any order, have enough of the piece and of its answer: no subsequence is longer.
+
+        ``padded`` has the words after SCALES[-1] blanks, and as many pairs of blanks after them.
+        """
         own, count, answer = self.bags[piece]
         self.lut[own] = np.arange(len(own))
-        local = self.lut[a]
-        self.lut[own] = -1
         s, n = self.scale[piece], self.p.answers[piece]
-        local = np.concatenate([np.full(s // 2, -1), local, np.full(2 * s, -1)])
         keep = []
         for at in range(0, len(starts), 4096):
             part = starts[at : at + 4096]
-            near = local[part[:, None] + np.arange(2 * s)]
+            near = self.lut[padded[part[:, None] + np.arange(2 * s) + (SCALES[-1] - s // 2)]]
             rows, cols = np.nonzero(near >= 0)
             bags = np.bincount(rows * len(own) + near[rows, cols], minlength=len(part) * len(own)).reshape(len(part), len(own))
             enough = (np.minimum(bags, count).sum(axis=1) / len(self.p.ids[piece]) >= SHARE) & (np.minimum(bags, answer).sum(axis=1) >= ANSWER * n)
             keep.append(part[enough])
+        self.lut[own] = -1
         return np.concatenate(keep)
 
     def matches(self, a: np.ndarray) -> dict[int, float]:
-        """item: share of the piece's words in the best common subsequence, for the items that pass."""
-        found: dict[int, float] = {}
-        if not len(a):
+        """The matches of one document."""
+        return self.matches_of([a])[0]
+
+    def matches_of(self, docs: Iterable[np.ndarray]) -> list[dict[int, float]]:
+        """For each document, item: share of the piece's words in the best common subsequence, for the items that pass."""
+        out: list[dict[int, float]] = []
+        held, size = [], 0
+        for a in docs:
+            held.append(a)
+            size += len(a) + APART
+            if size >= _STEP:
+                out += self.together(held)
+                held, size = [], 0
+        return out + self.together(held)
+
+    def together(self, docs: list[np.ndarray]) -> list[dict[int, float]]:
+        found: list[dict[int, float]] = [{} for _ in docs]
+        if not docs:
             return found
-        pieces, starts = self.held(*self.candidates(a), a)
+        lengths = np.array([len(a) for a in docs])
+        room = lengths + -lengths % BLOCK + APART
+        offsets, blank = np.cumsum(room) - room, len(self.p.vocab)
+        padded = np.full(room.sum() + 3 * SCALES[-1], blank)
+        a = padded[SCALES[-1] : -2 * SCALES[-1]]
+        for x, at in zip(docs, offsets.tolist(), strict=True):
+            a[at : at + len(x)] = x
+        pieces, starts = self.candidates(a)
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        inside = starts - offsets[doc] < lengths[doc]  # windows start in a document, not in blanks
+        pieces, starts, doc = pieces[inside], starts[inside], doc[inside]
+        keep = self.held(pieces, starts, a)
+        pieces, starts, doc = pieces[keep], starts[keep], doc[keep]
         cuts = np.nonzero(np.diff(pieces, prepend=-1, append=-1))[0]
-        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+        for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             piece = int(pieces[first])
-            ids, pad, n = self.p.ids[piece], self.scale[piece] // 2, self.p.answers[piece]
-            for at in self.possible(piece, starts[first:end], a).tolist():
+            ids, pad, n, item = self.p.ids[piece], self.scale[piece] // 2, self.p.answers[piece], self.p.items[piece]
+            some = self.possible(piece, starts[first:end], padded)
+            for at, own in zip(some.tolist(), doc[first:end][np.searchsorted(starts[first:end], some)].tolist(), strict=True):
                 stream = a[max(0, at - pad) : at + 3 * pad].tolist()
                 share = common(self.masks[piece], len(ids), stream) / len(ids)
-                if share >= SHARE and share > found.get(self.p.items[piece], 0) and common(self.tails[piece], n, stream) >= ANSWER * n:
-                    found[self.p.items[piece]] = share
+                if share >= SHARE and share > found[own].get(item, 0) and common(self.tails[piece], n, stream) >= ANSWER * n:
+                    found[own][item] = share
         return found
 
 
@@ -349,7 +381,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value)
             for b in batches:
-                more = [search.matches(encoded(t.as_py(), search.p.vocab)) for t in b.column(1)]
+                more = search.matches_of(encoded(t.as_py(), search.p.vocab) for t in b.column(1))
                 items = [sorted({*old, *new}) for old, new in zip(b.column(2).to_pylist(), more, strict=True)]
                 best = [max(old, *new.values()) if new else old for old, new in zip(b.column(3).to_pylist(), more, strict=True)]
                 out = {"id": b.column(0), "t": b.column(1), "items": pa.array(items, pa.list_(pa.int64())), "best": pa.array(best, pa.float64())}

@@ -43,7 +43,7 @@ ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
 #: Sketches that are summed up: so many for each core, however many parts the texts have.
 SKETCHES = 3
 #: Words of a document whose windows are weighed against the pieces together, before each window is.
-SEGMENT = 256
+SEGMENT = 512
 #: Blanks between documents that are searched together: no window's surroundings reach the next one.
 APART = 3 * SCALES[-1] // 2
 _STEP = 1 << 15
@@ -263,7 +263,7 @@ class Search:
         segment, keep, pad = starts // SEGMENT, np.zeros(len(starts), dtype=bool), SCALES[-1] // 2
         order = np.argsort(segment, kind="stable")
         cuts = np.nonzero(np.diff(segment[order], prepend=-1, append=-1))[0]
-        bag = np.zeros(len(self.p.vocab) + 1, dtype=np.int64)
+        bag = np.zeros(len(self.p.vocab) + 1, dtype=np.int16)
         for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             some = order[first:end]
             at = int(segment[some[0]]) * SEGMENT

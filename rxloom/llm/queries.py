@@ -3,6 +3,9 @@
 from rxloom.llm.chat_format import OP4_SQL, op4_chat_format
 from rxloom.llm.decontamination import op8_decontamination
 from rxloom.llm.embedding_dedup import op9_embedding_dedup
+from rxloom.llm.html_extraction import op11_html_extraction
+from rxloom.llm.merkle_manifest import OP12_SQL, op12_merkle_manifest
+from rxloom.llm.periodic_runs import op13_periodic_runs
 from rxloom.llm.quality_classifier import op6_quality_classifier
 from rxloom.llm.secret_scan import OP3_SQL, op3_secret_scan
 from rxloom.llm.simhash_dedup import op5_simhash_dedup
@@ -22,10 +25,14 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }

@@ -97,3 +97,20 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = words(spark, sf_dir).selectExpr("rx_id", "variant_idx", "word_idx AS box_idx", f"{BOX['x0']} AS x", f"{BOX['y0'].replace('//', 'div')} AS y", "CAST(10 + word_idx % 5 AS double) AS tall", "text", "CAST(greatest(conf, 0) AS double) / 100 AS conf")
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     return rows.select("rx_id", "variant_idx", "box_idx", F.array(corner(0, 0), corner(30, 0), corner(30, F.col("tall")), corner(0, F.col("tall"))).alias("bbox"), "text", "conf")
+
+
+#: a grey image a supplier: slanted lines of dark blocks and a long rule on a ground that darkens to the right; every tenth is empty, every eleventh of one value
+RASTER_WIDTH, RASTER_HEIGHT = 160, 64
+SLANT = "(y + (x * (k % 7 - 3) + 4000) div 40 - 100 + 8)"
+INK = f"(k % 10 <> 0 AND (x >= 12 AND x < 12 + 60 + k % 80 AND {SLANT} % 16 >= 6 AND {SLANT} % 16 < 10 AND (x div 5 + {SLANT} div 16 * 3 + k) % 4 <> 0 OR x >= 4 AND x < 156 AND k % 3 < 2 AND ({SLANT} = 46 + k % 4 OR {SLANT} = 47 + k % 4)))"
+PIXEL = f"CAST(CASE WHEN k % 11 = 0 THEN 128 WHEN {INK} THEN 40 + (x * 7 + y * 3 + k) % 31 ELSE 205 + (x + 2 * y + k) % 23 - x div 8 END AS int)"
+RASTERS_SQL = f"""pixels AS MATERIALIZED (
+  SELECT k AS image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {PIXEL.replace("div", "//")} AS v
+  FROM (SELECT s_suppkey AS k FROM supplier), (SELECT unnest(range({RASTER_WIDTH})) AS x), (SELECT unnest(range({RASTER_HEIGHT})) AS y))"""
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, width, height, y, px: a strip for each line of the images."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(RASTER_HEIGHT - 1))).alias("y"))
+    px = f"transform(sequence(0, {RASTER_WIDTH - 1}), x -> {PIXEL})"
+    return rows.selectExpr("k AS image_id", f"{RASTER_WIDTH} AS width", f"{RASTER_HEIGHT} AS height", "y", f"{px} AS px")

@@ -109,9 +109,9 @@ plans AS (
   SELECT *, start_date + CAST(days - 1 AS INTEGER) AS end_date, CASE WHEN times = '' THEN ['08:00'] ELSE string_split(times, ' ') END AS daily FROM (
     SELECT *, upper(name) AS medicine_name, CASE WHEN duration_days > 0 THEN duration_days ELSE 30 END AS days FROM parsed JOIN starts USING (rx_id)))"""
 
-SUMMARY = f"""{inputs.LINES_SQL},
-found AS (SELECT rx_id, count(*) AS n, count(*) FILTER (line_no % 3 = 0) AS u, bool_or(rx_id % 4 = 0) AS lenient FROM lines WHERE {STRICT} GROUP BY rx_id),
+_SUMMARY = f"""found AS (SELECT rx_id, count(*) AS n, count(*) FILTER (line_no % 3 = 0) AS u, bool_or(rx_id % 4 = 0) AS lenient FROM lines WHERE {STRICT} GROUP BY rx_id),
 summary AS (SELECT o_orderkey AS rx_id, coalesce(n, 0) AS n, coalesce(u, 0) AS u, coalesce(lenient, false) AS lenient, CAST(50 + o_orderkey % 50 AS double) / 100 - 0.2 AS conf FROM orders LEFT JOIN found ON o_orderkey = rx_id)"""
+SUMMARY = f"{inputs.LINES_SQL}, {_SUMMARY}"
 
 _WORD_RUNS = """wi AS (SELECT *, CASE WHEN line_num <> lag(line_num) OVER w THEN 1 ELSE 0 END AS s FROM words WHERE conf >= 0 AND trim(text) <> '' WINDOW w AS (PARTITION BY rx_id, variant_idx ORDER BY word_idx)),
 wr AS (SELECT * EXCLUDE (line_num), CAST(sum(s) OVER (PARTITION BY rx_id, variant_idx ORDER BY word_idx) AS INTEGER) AS line_num FROM wi),
@@ -188,6 +188,8 @@ _LOW_A, _LOW_B = fixed.LOW_CONFIDENCE.split("%s")
 _CODES_VALUES = ", ".join(f"({o}, '{c}', '{n}', {t}, {_list(a)})" for o, c, n, t, a in fixed.FREQUENCIES)
 _CODES = f"codes(ord, code, full_name, times_per_day, times) AS (VALUES {_CODES_VALUES})"
 _LF = frequency("line")
+_WARNED = f"""concat_ws('|', CASE WHEN conf < 0.45 THEN '{_LOW_A}' || CAST(round(conf * 100) AS INTEGER) || '%{_LOW_B}' END,
+      CASE WHEN lenient THEN '{fixed.LENIENT_USED}' END, CASE WHEN u > 0 THEN u || '{fixed.UNMATCHED[2:]}' END, CASE WHEN n = 0 THEN '{fixed.NONE_FOUND}' END)"""
 
 ORACLE = {
     "doses_per_prescription": f"WITH {PLANS}, e AS (SELECT rx_id, max(end_date) AS e, sum(days * len(daily)) AS n FROM plans GROUP BY rx_id) SELECT starts.rx_id, CAST(CAST(coalesce(e, start_date + 29) AS date) AS VARCHAR) AS end_date, CAST(coalesce(n, 0) AS BIGINT) AS total_doses FROM starts LEFT JOIN e USING (rx_id)",
@@ -210,8 +212,7 @@ ORACLE = {
       CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS level, CASE WHEN c >= 0.75 THEN 'High' WHEN c >= 0.5 THEN 'Medium' ELSE 'Low' END AS quality,
       CAST(rx_id % 101 AS INTEGER) AS percent, CASE WHEN rx_id % 24 < 12 THEN 'Good morning' WHEN rx_id % 24 < 17 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting,
       line_no * 7 % 30 AS days, 1 AS times_per_day, rx_id % 130 < 100 AND 10 + line_no < 100 AS valid, {timing("line")} LIKE 'Before%' AS before FROM v""",
-    "warnings": f"""WITH {SUMMARY} SELECT rx_id, n AS n_medicines, u AS n_uncertain, concat_ws('|', CASE WHEN conf < 0.45 THEN '{_LOW_A}' || CAST(round(conf * 100) AS INTEGER) || '%{_LOW_B}' END,
-      CASE WHEN lenient THEN '{fixed.LENIENT_USED}' END, CASE WHEN u > 0 THEN u || '{fixed.UNMATCHED[2:]}' END, CASE WHEN n = 0 THEN '{fixed.NONE_FOUND}' END) AS warnings FROM summary""",
+    "warnings": f"WITH {SUMMARY} SELECT rx_id, n AS n_medicines, u AS n_uncertain, {_WARNED} AS warnings FROM summary",
     "fallback_choice": f"""WITH {SUMMARY}, w AS (SELECT *, n = 0 OR conf <= 0.5 OR u::double / n >= 0.8 AS wanted, n + rx_id % 3 - 1 AS n2, greatest(u - 1, 0) AS u2, greatest(conf, 0.5) AS c2 FROM summary),
       b AS (SELECT *, wanted AND (n2 > n OR n2 = n AND (n2 - u2 > n - u OR n2 - u2 = n - u AND c2 > conf)) AS better FROM w)
       SELECT rx_id, wanted, better AS used_fallback, CASE WHEN better THEN n2 ELSE n END AS n_medicines, CASE WHEN better THEN u2 ELSE u END AS n_uncertain, round(CASE WHEN better THEN c2 ELSE conf END, 6) AS conf FROM b""",
@@ -251,13 +252,22 @@ ORACLE = {
       WHEN 2 THEN concat_ws(chr(10), CASE WHEN length(l) >= 3 THEN l END, CASE WHEN length(l) >= 3 THEN l END, 'end of it') ELSE concat('{{broken ', l, '}}') END AS text FROM v""",
     "dictionary_search": "SELECT min(p_partkey) AS dict_idx, p_name AS name FROM part WHERE contains(lower(p_name), 'giz') GROUP BY p_name ORDER BY 1 LIMIT 5",
     "dictionary_sizes": f"WITH {_CODES} SELECT (SELECT count(DISTINCT p_name) FROM part) AS medicines, (SELECT count(*) FROM codes) AS codes",
-    "frequency_dictionary": f"WITH {_CODES} SELECT ord, code, full_name, times_per_day, times FROM codes",
+    "frequency_dictionary": f"WITH {inputs.LINES_SQL}, {_CODES}, u AS (SELECT {_LF['code']} AS code, count(*) AS lines FROM lines GROUP BY 1) SELECT ord, code, full_name, times_per_day, times, coalesce(lines, 0) AS lines FROM codes LEFT JOIN u USING (code)",
     "upsert_medicines": """WITH r AS (SELECT p_partkey AS key, concat(p_name, ' ', p_partkey % 50) AS name, p_brand AS category FROM part),
       o AS (SELECT arg_min(key, key) AS key, name, arg_min(category, key) AS category FROM r WHERE key % 2 = 0 GROUP BY name),
       n AS (SELECT max(key) AS key, name, arg_max(category, key) AS category FROM r WHERE key % 3 = 0 GROUP BY name)
       SELECT key, name, category FROM n UNION ALL SELECT key, name, category FROM o WHERE name NOT IN (SELECT name FROM n)""",
-    "upsert_codes": f"WITH {_CODES} SELECT ord, code, CASE WHEN ord % 4 = 0 THEN upper(full_name) ELSE full_name END AS full_name FROM codes UNION ALL SELECT 21, 'Q2H', 'Every 2 Hours'",
-    "stored_prescriptions": f"WITH {inputs.DOCUMENTS_SQL} SELECT text AS raw_text, {strip(x('text', fixed.DOCTOR))} AS doctor_name, {strip(x('text', fixed.PATIENT))} AS patient_name, CAST(len(string_split(text, chr(10))) AS INTEGER) AS medicines, '' AS warnings, ocr_conf AS overall_confidence FROM docs",
+    "upsert_codes": f"""WITH {_CODES}, p AS (SELECT 100 + p_partkey AS ord, substring(upper(translate(p_brand, '#', '')), 1, 7) AS code, p_type, p_size FROM part),
+      n AS (SELECT ord, code, full_name FROM codes UNION ALL SELECT max(ord), code, upper(arg_max(p_type, ord)) FROM p WHERE p_size <= 10 GROUP BY code)
+      SELECT ord, code, full_name FROM n UNION ALL SELECT max(ord), code, arg_max(p_type, ord) FROM p WHERE code NOT IN (SELECT code FROM n) GROUP BY code""",
+    "table_versions": """WITH r AS (SELECT p_partkey AS key, concat(p_name, ' ', p_partkey % 50) AS name, p_brand AS category, p_retailprice AS price FROM part),
+      o AS (SELECT * FROM r WHERE key % 2 = 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY key DESC) = 1),
+      n AS (SELECT * FROM r WHERE key % 3 = 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY key DESC) = 1)
+      SELECT *, 1 AS version FROM o UNION ALL SELECT *, 2 FROM n UNION ALL SELECT *, 2 FROM o WHERE name NOT IN (SELECT name FROM n)""",
+    "stored_prescriptions": f"""WITH {inputs.DOCUMENTS_SQL}, {_steps(STRICT)}, {_SUMMARY},
+      l AS (SELECT rx_id, string_agg(concat_ws('|', name, dosage, code, duration_days), ';' ORDER BY line_no) AS medicines FROM parsed GROUP BY rx_id)
+      SELECT text AS raw_text, {strip(x('text', fixed.DOCTOR))} AS doctor_name, {strip(x('text', fixed.PATIENT))} AS patient_name, coalesce(medicines, '') AS medicines, {_WARNED} AS warnings, ocr_conf AS overall_confidence
+      FROM docs JOIN summary USING (rx_id) LEFT JOIN l USING (rx_id)""",
     "stored_reminders": f"WITH {PLANS} SELECT rx_id AS prescription_id, medicine_name, dosage, days FROM plans",
     "result_json": f"WITH {PARSED} SELECT rx_id, concat('{{\"rx_id\":', rx_id, ',\"line_no\":', line_no, ',\"name\":\"', name, '\",\"dosage\":\"', dosage, '\",\"duration_days\":', duration_days, '}}') AS json FROM parsed",
     "upload_validation": f"""WITH u AS (SELECT o_orderkey AS upload_id, [{", ".join(f"'{t}'" for t in fixed.MEDIA_TYPES)}, 'text/plain', NULL][o_orderkey % 7 + 1] AS mime, CAST(trunc(o_totalprice * 40) AS BIGINT) % 12000000 AS length FROM orders)

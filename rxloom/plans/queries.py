@@ -9,7 +9,7 @@ from rxloom.functions import fixed
 from rxloom.operators import extract, frequency, images, linkage, merge, model_output, ocr, prescriptions, schedule
 from rxloom.operators import lines as line_ops
 from rxloom.plans import inputs
-from rxloom.sources import dictionaries, sinks, uploads
+from rxloom.sources import dictionaries, sinks, uploads, versions
 
 CODES = fixed.FREQUENCIES
 KEY = ["rx_id", "line_no"]
@@ -252,8 +252,10 @@ def dictionary_sizes(spark, sf_dir) -> DataFrame:
 
 
 def frequency_dictionary(spark, sf_dir) -> DataFrame:
-    """S6."""
-    return dictionaries.frequency_codes(spark).select("ord", "code", "full_name", "times_per_day", F.array_join("default_times", " ").alias("times"))
+    """The dictionary, and how many lines use each of its codes."""
+    used = inputs.lines(spark, sf_dir).select(frequency.frequency(F.col("line"), CODES)["code"].alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("lines"))
+    codes = dictionaries.frequency_codes(spark).join(used, "code", "left")
+    return codes.select("ord", "code", "full_name", "times_per_day", F.array_join("default_times", " ").alias("times"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def upsert_medicines(spark, sf_dir) -> DataFrame:
@@ -266,23 +268,47 @@ def upsert_medicines(spark, sf_dir) -> DataFrame:
 
 
 def upsert_codes(spark, sf_dir) -> DataFrame:
-    """S12."""
-    old = dictionaries.frequency_codes(spark).select("ord", "code", "full_name")
-    new = old.filter("ord % 4 = 0").withColumn("full_name", F.upper("full_name")).union(spark.createDataFrame([(21, "Q2H", "Every 2 Hours")], "ord int, code string, full_name string"))
-    return dictionaries.upserted(old, new, "code", ["ord"])
+    """A table of codes by brand, into which the built-in ones and those of small parts are written, twice."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    code = "substring(upper(translate(p_brand, '#', '')), 1, 7) AS code"
+    table = versions.VersionedTable(spark, versions.shared_dir(spark), "code", buckets=8)
+    table.upsert(parts.selectExpr("100 + p_partkey AS ord", code, "p_type AS full_name"), ["ord"])
+    known = dictionaries.frequency_codes(spark).selectExpr("CAST(ord AS bigint) AS ord", "code", "full_name")
+    new = known.union(parts.filter("p_size <= 10").selectExpr("100 + p_partkey AS ord", code, "upper(p_type) AS full_name"))
+    for _ in range(2):
+        table.upsert(new, ["ord"])
+    return table.read()
+
+
+def _broken() -> None:
+    raise OSError("the write broke off before its commit")
+
+
+def table_versions(spark, sf_dir) -> DataFrame:
+    """S11 as a write: the rows of both versions of a table; an upsert that fails and one that changes nothing leave no version."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS key", "concat(p_name, ' ', p_partkey % 50) AS name", "p_brand AS category", "p_retailprice AS price")
+    table = versions.VersionedTable(spark, versions.shared_dir(spark), "name", buckets=16)
+    table.upsert(rows.filter("key % 2 = 0"), ["key"])
+    first = table.read()
+    thirds = rows.filter("key % 3 = 0")
+    sinks.tolerated(lambda: table.upsert(thirds.withColumn("price", F.lit(0.0)), ["key"], before_commit=_broken))
+    for _ in range(2):
+        table.upsert(thirds, ["key"])
+    return first.withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(table.version())))
 
 
 def stored_prescriptions(spark, sf_dir) -> DataFrame:
-    """S8."""
+    """Raw texts with the medicines of their strict lines in order, and their warnings."""
     heads = extract.header_fields(F.col("text"))
     rows = inputs.documents(spark, sf_dir).withColumns({k: heads[k] for k in ("doctor_name", "patient_name")})
-    rows = rows.withColumns({"raw_text": F.col("text"), "medicines": F.size(F.split("text", "\n")), "warnings": F.lit(""), "overall_confidence": F.col("ocr_conf")})
-    return sinks.prescription_rows(rows).drop("id")
+    rows = sinks.with_content(rows.withColumnsRenamed({"text": "raw_text", "ocr_conf": "overall_confidence"}), _parsed(spark, sf_dir), prescriptions.warnings(_summary(spark, sf_dir)))
+    shown = F.array_join(F.transform("medicines", lambda m: F.concat_ws("|", m["name"], m["dosage"], m["frequency_code"], m["duration_days"])), ";")
+    return sinks.prescription_rows(rows).drop("id").withColumns({"medicines": shown, "warnings": F.array_join("warnings", "|")})
 
 
 def stored_reminders(spark, sf_dir) -> DataFrame:
     """S10."""
-    rows = _plans(spark, sf_dir).groupBy(F.col("rx_id").alias("prescription_id")).agg(F.collect_list(F.struct("medicine_name", "dosage", "days")).alias("medicines"))
+    rows = _plans(spark, sf_dir).select(F.col("rx_id").alias("prescription_id"), F.struct("medicine_name", "dosage", "days").alias("schedule"))
     return sinks.reminder_rows(rows).select("prescription_id", "medicine_name", "schedule.dosage", "schedule.days")
 
 
@@ -325,7 +351,7 @@ QUERIES = {
         doses_per_prescription, split_lines, line_scores, strict_lines, lenient_lines, header_fields, dosages, frequencies, default_times, durations, medicine_lines,
         medicines, schedules, dose_rows, daily_slots, daily_doses, dose_progress, display_labels, warnings, fallback_choice, ocr_rows, word_blocks, engine_texts,
         best_variants, unread_documents, merge_choice, line_similarities, merged_texts, link_candidates, link_matches, link_bands, model_lines, dictionary_search,
-        dictionary_sizes, frequency_dictionary, upsert_medicines, upsert_codes, stored_prescriptions, stored_reminders, result_json, upload_validation,
+        dictionary_sizes, frequency_dictionary, upsert_medicines, upsert_codes, table_versions, stored_prescriptions, stored_reminders, result_json, upload_validation,
         image_geometry, text_regions, skews,
     )
 }

@@ -300,9 +300,10 @@ def decided(found: list[Block]) -> list[bool | None]:
 def labelled(found: list[Block]) -> list[bool]:
     """Both passes: whether each block is article text.
 
-    An ambiguous block takes the label of the nearest decided block of its section
-    (of two as near and unlike, that of the section's edges); the edges of a section are
-    decided, good those of an article. A heading looks to what follows it.
+    An ambiguous block takes the label of the nearest decided block of its section (of
+    two as near and unlike, the bad one's); the edges of a section are decided, good
+    those of an article. In an article, where a list of links says little of what stands
+    beside it, both sides must be bad. A heading looks to what follows it.
     """
     labels = decided(found)
     # a page that names no article and has no good block is one as far as it isn't bad
@@ -330,7 +331,10 @@ def labelled(found: list[Block]) -> list[bool]:
     for k, label in enumerate(labels):
         if label is None:
             (after, one), (before, other) = ahead[k], behind[k]
-            label = one if found[k].heading or after < before or one == other else other if before < after else ends(k)[1]
+            if ends(k)[1]:
+                label = one or other
+            else:
+                label = one if found[k].heading or after < before else other if before < after else one and other
         out.append(label)
     return out
 

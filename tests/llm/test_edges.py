@@ -38,7 +38,7 @@ def tables(request, spark, tmp_path_factory):
 def test_query_on_odd_tables(spark, tables, name):
     folder, n = tables
     rows = QUERIES[name](spark, folder).collect()
-    table = {"op7": "pages", "op9": "embeddings"}.get(name.split("_")[0], "documents")
+    table = {"op7": "pages", "op9": "embeddings", "op11": "pages"}.get(name.split("_")[0], "documents")
     if not name.startswith("op4_"):
         assert len(rows) == spark.read.parquet(f"{folder}/{table}.parquet").count()
     if name in ORACLE_SQL:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.llm.common import Scratch, components
@@ -29,8 +29,14 @@ BUCKET = 64
 STAGE_WORDS, ALIKE, OF_SIZES = 5, 9, 4
 #: Of two texts with Jaccard similarity j, one band or more is equal with 1 - (1 - j ** ROWS) ** BANDS: 0.99997 at 0.8.
 BANDS, ROWS = 20, 4
-#: Texts of a group of candidates that are compared at a time.
-BLOCK = 256
+#: Minima of BANDS * ROWS that a pair of sketches agrees in to be looked at: of pairs at 0.8, 1 in 10 million has fewer.
+CLOSE = 44
+#: Turns in which the texts of a key are compared with one of them; further bands that cut a full bucket.
+TURNS, DEEP = 3, 2
+#: Texts that are compared with one in a task, and texts of a full bucket that are compared at a time.
+PART, BLOCK = 256, 256
+#: Numbers of 64 bits in the bitmap that tells which rows to shuffle.
+SIEVE = 1 << 18
 _CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256)[None, :]
@@ -144,22 +150,27 @@ def op5_simhash_dedup(spark, sf_dir) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """One key a band, as signed 64-bit integers: equal where ROWS minima of a text's distinct hashes are."""
+def sketch(own: np.ndarray) -> bytes:
+    """Sixteen bits of each of BANDS * ROWS minima of a text's distinct hashes: as many are equal, in part, as the texts are alike."""
+    if not len(own):
+        return b""
     mix = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(own), 1024):
         least = np.minimum(least, (own[at : at + 1024, None] * mix[0] + mix[1]).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+    return (least >> np.uint64(24)).astype(np.uint16).tobytes()
 
 
 def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype=np.uint64)
 
 
+def _shingles(text: bytes | None) -> np.ndarray:
+    return _distinct(list(_hashes(text, STAGE_WORDS)))
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(digest of the set of shingles, fp, bands) in place of the last column, t; texts without a word have no bands."""
+    """(digest of the set of shingles, fp, sketch) in place of the last column, t; texts without a word have an empty sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,63 +178,220 @@ def signatures(rows: DataFrame) -> DataFrame:
             for t in batch.column(batch.num_columns - 1):
                 chunks = list(_hashes(t.as_py(), STAGE_WORDS))
                 own = _distinct(chunks)
-                out.append((xxhash.xxh3_128_digest(own.tobytes()), _simhash(chunks), bands(own) if len(own) else []))
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], [*rest, "digest", "fp", "bands"])
+                out.append((xxhash.xxh3_128_digest(own.tobytes()), _simhash(chunks), sketch(own)))
+            kinds = (pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], [*rest, "digest", "fp", "sketch"])
 
     rest = rows.columns[:-1]
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["digest binary", "fp long", "bands array<long>"]))
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["digest binary", "fp long", "sketch binary"]))
+
+
+def _bands() -> list[Column]:
+    """One key a band: equal where ROWS minima are."""
+    return [F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
+
+
+def _equal(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (one == other).sum(axis=-1)
+
+
+def _minima(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BANDS * ROWS)
+
+
+def sieve(places: DataFrame) -> DataFrame:
+    """(w, bits): a bitmap of the hashed places (file, at), SIEVE rows at most whatever the input, so that it may be sent to every task."""
+    return places.select(*_hole()).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+
+def _hole() -> list[Column]:
+    return [F.pmod(F.xxhash64("file", "at"), F.lit(SIEVE)).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(at, file), 64) as int))").alias("bit")]
 
 
-def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the nodes which share a band, or whose fingerprints differ at MAX_BITS or fewer."""
-    keyed = scratch.save(classes.select(F.explode("bands").alias("h"), "node").union(classes.select(F.xxhash64(F.lit("fp"), "fp"), "node")), "bands")
-    shared = keyed.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "a")
-    links = keyed.join(shared, "h").filter("node > a").select("a", F.col("node").alias("b"))
-    reps = scratch.save(classes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
-    pairs = close_pairs(scratch, reps.select("fp"))
-    pairs = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    return links.union(pairs.select("ra", "rb"))
+def sifted(rows: DataFrame, holes: DataFrame) -> DataFrame:
+    """``rows`` (file, at, ...) with maybe: false where their place is surely not in ``holes``."""
+    w, bit = _hole()
+    marked = rows.withColumns({"w": w, "bit": bit}).join(F.broadcast(holes), "w", "left")
+    return marked.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("w", "bit", "bits")
 
 
-def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of the texts of each group that connect all pairs with a Jaccard similarity of 0.8 or more.
+class _Search:
+    """Links of texts with a Jaccard similarity of 0.8 or more, enough of them to connect all such pairs.
 
-    ``near``: comp, node, file, at; ``texts``: file, at, t. A group of m texts has
-    m / BLOCK blocks; a task compares two blocks, without pairs that its earlier
-    links connect already. The groups grow with the documents, so they are merged
-    with the texts by a shuffle at every size. Texts travel, which compress, and
-    not the hashes of their shingles, which don't.
+    ``classes``: node, fp, sketch of different texts; ``places``: node, file, at;
+    ``rows``: file, at, t. Texts meet under the keys of their bands, and where their
+    fingerprints are close. In a few turns each key's texts are compared with one of
+    them, another each turn, which settles groups of copies of any size in linear
+    work; keys whose texts are connected by then are done. What others hold is
+    compared in small buckets, large ones being cut by further bands first. A pair is
+    looked at if its sketches agree as far as 0.8 does but for one in ten million,
+    and then its true shingles decide.
     """
 
-    def compare(t: pa.Table) -> pa.Table:
-        nodes, blocks = t.column("node").to_pylist(), t.column("blk").to_pylist()
-        sets = [frozenset(_distinct(list(_hashes(x.as_py(), STAGE_WORDS))).tolist()) for x in t.column("t")]
-        root, out, two = list(range(len(nodes))), [], len(set(blocks)) > 1
-
-        def find(n: int) -> int:
-            while root[n] != n:
-                root[n] = root[root[n]]
-                n = root[n]
-            return n
-
-        for x, one in enumerate(sets):
-            for y in range(x):
-                other = sets[y]
-                if two and blocks[x] == blocks[y]:
-                    continue
-                if ALIKE * min(len(one), len(other)) < OF_SIZES * (len(one) + len(other)) or find(x) == find(y):
-                    continue
-                if ALIKE * len(one & other) >= OF_SIZES * (len(one) + len(other)):
-                    root[find(x)] = find(y)
-                    out.append((nodes[x], nodes[y]))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = near.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
-    rows = texts.join(rows.hint("merge"), ["file", "at"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "t")
-    return rows.groupBy("comp", "i", "j").applyInArrow(compare, "a long, b long")
+    def __init__(self, scratch: Scratch, classes: DataFrame, places: DataFrame, rows: DataFrame):
+        self.scratch, self.classes, self.places, self.rows = scratch, classes, places, rows
+        self.links: DataFrame | None = None
+        self.comps: DataFrame | None = None
+        self.names: list[str] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(f"{name}-{len(self.names)}")
+        return self.scratch.save(df, self.names[-1])
+
+    def found(self) -> DataFrame | None:
+        keyed = self.classes.filter("length(sketch) > 0").select(F.explode(F.array(*_bands())).alias("key"), "node")
+        keyed = keyed.union(self.classes.select(F.xxhash64(F.lit("fp"), "fp"), "node"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        keyed = self.save(keyed.join(shared, "key"), "keyed")
+        reps = self.save(self.classes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+        near = close_pairs(self.scratch, reps.select("fp"))
+        near = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+        near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        for turn in range(TURNS):
+            pairs = self.stars(keyed, turn)
+            if not self.verify(self.alike(pairs.union(near) if not turn else pairs)):
+                break
+        self.rest(keyed)
+        return self.links
+
+    def labelled(self, keyed: DataFrame) -> DataFrame:
+        if self.comps is None:
+            return keyed.withColumn("comp", F.col("node"))
+        return keyed.join(self.comps.withColumnRenamed("component", "comp_"), "node", "left").withColumn("comp", F.coalesce("comp_", "node")).drop("comp_")
+
+    def stars(self, keyed: DataFrame, turn: int) -> DataFrame:
+        """Each text of a key with the one that this turn picks, unless both are connected."""
+        rows = self.labelled(keyed)
+        pick = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)))
+        picks = rows.groupBy("key").agg(pick.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "p")
+        return rows.join(picks, "key").filter("comp <> p.comp").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches are close."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                near = _equal(_minima(t["sa"]), _minima(t["sb"])) >= CLOSE
+                yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(near))
+
+        own = self.classes.filter("length(sketch) > 0").select("node", "sketch")
+        rows = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+    def texts(self, needed: DataFrame) -> DataFrame:
+        """``needed`` (node, ...) with the texts t. Only those that are needed, or hash like such, are shuffled."""
+        needed = needed.join(self.places, "node")
+        holes = sieve(needed.select("file", "at"))
+        kept = sifted(self.rows, holes).filter("maybe").drop("maybe")
+        # they grow with the documents, so they are merged at every size
+        return kept.join(needed.hint("merge"), ["file", "at"])
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Adds the links among ``pairs``; whether there were any.
+
+        The partners of a text are compared with it in parts of about PART.
+        """
+
+        def compare(t: pa.Table) -> pa.Table:
+            own, out = t.column("own").to_pylist(), []
+            a = t.column("a")[0].as_py()
+            one = _shingles(t.column("t")[own.index(True)].as_py())
+            for k, node in enumerate(t.column("node").to_pylist()):
+                if not own[k]:
+                    other = _shingles(t.column("t")[k].as_py())
+                    if ALIKE * len(np.intersect1d(one, other, assume_unique=True)) >= OF_SIZES * (len(one) + len(other)):
+                        out.append(node)
+            return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+
+        pairs = self.save(pairs, "pairs")
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+        rows = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), F.lit(False).alias("own"))
+        rows = rows.union(rows.select("a", "part", F.col("a"), F.lit(True)).distinct())
+        links = self.texts(rows).select("a", "part", "node", "own", "t").groupBy("a", "part").applyInArrow(compare, "a long, b long")
+        return self.add(links)
+
+    def add(self, links: DataFrame) -> bool:
+        links = self.save(links, "links")
+        if links.isEmpty():
+            return False
+        self.links = links if self.links is None else self.links.union(links)
+        self.comps = components(Scratch(self.scratch.spark, "dedup"), self.links)
+        return True
+
+    def rest(self, keyed: DataFrame) -> None:
+        """Compares what keys hold of texts that aren't connected yet."""
+        pairs, depth = [], 0
+        while True:
+            rows = self.labelled(keyed)
+            open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "n")
+            rows = self.save(rows.join(open_, "key"), "open")
+            pairs.append(self.within(rows.filter(f"n <= {BUCKET}")))
+            full = rows.filter(f"n > {BUCKET}")
+            if full.isEmpty():
+                break
+            if depth == DEEP:
+                self.add(self.blocks(full))
+                break
+            own = self.classes.select("node", "sketch")
+            more = full.select("key", "node").join(own, "node").filter("length(sketch) > 0")
+            cut = more.select("node", "key", F.explode(F.array(*_bands())).alias("band")).filter("key <> band")
+            # a key and a band meet once, whichever of them came first
+            cut = cut.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node").distinct()
+            keyed, depth = self.save(cut, "cut"), depth + 1
+        found = pairs[0]
+        for p in pairs[1:]:
+            found = found.union(p)
+        self.verify(found.distinct())
+
+    def within(self, members: DataFrame) -> DataFrame:
+        """The pairs of close sketches in buckets of BUCKET texts at most that aren't connected."""
+
+        def run(t: pa.Table) -> pa.Table:
+            nodes, comps, minima = np.array(t["node"]), np.array(t["comp"]), _minima(t["sketch"])
+            near = (_equal(minima[:, None, :], minima[None, :, :]) >= CLOSE) & (comps[:, None] != comps[None, :]) & (nodes[:, None] < nodes[None, :])
+            i, j = np.nonzero(near)
+            return pa.table({"a": pa.array(nodes[i], pa.int64()), "b": pa.array(nodes[j], pa.int64())})
+
+        own = self.classes.filter("length(sketch) > 0").select("node", "sketch")
+        rows = members.select("key", "node", "comp").join(own, "node").select("key", "node", "comp", "sketch")
+        return rows.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Links within buckets that stayed full, each set of texts once, two blocks of BLOCK texts a task."""
+
+        def compare(t: pa.Table) -> pa.Table:
+            nodes, blocks, minima = t["node"].to_pylist(), t["blk"].to_pylist(), _minima(t["sketch"])
+            comps: dict[int, int] = {}
+            root = [comps.setdefault(c, k) for k, c in enumerate(t["comp"].to_pylist())]
+            two, out, sets = len(set(blocks)) > 1, [], {}
+
+            def find(n: int) -> int:
+                while root[n] != n:
+                    root[n] = root[root[n]]
+                    n = root[n]
+                return n
+
+            def own(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = _shingles(t["t"][k].as_py())
+                return sets[k]
+
+            for x in range(len(nodes)):
+                for y in np.flatnonzero(_equal(minima[:x], minima[x]) >= CLOSE).tolist():
+                    if two and blocks[x] == blocks[y] or find(x) == find(y):
+                        continue
+                    one, other = own(x), own(y)
+                    if ALIKE * len(np.intersect1d(one, other, assume_unique=True)) >= OF_SIZES * (len(one) + len(other)):
+                        root[find(x)] = find(y)
+                        out.append((nodes[x], nodes[y]))
+            return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+        sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"))
+        sets = sets.groupBy("n", "x", "lo").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rows = members.select("key", "node", "comp").join(sets, "key").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+        rows = self.texts(rows.join(self.classes.select("node", "sketch"), "node")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "comp", "sketch", "t")
+        return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -255,15 +423,19 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs = scratch.save(docs, "rows")
         rows, found = signed()
     best = F.struct(F.col("id").isNull().alias("none"), "id", "tie", F.col("key").alias("node"))
-    classes = found.groupBy("digest").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = scratch.save(classes.select("best", "best.node", "fp", "bands"), "classes")
-    near = components(Scratch(spark, "dedup"), candidates(scratch, classes)).select(F.col("component").alias("comp"), "node")
+    classes = found.groupBy("digest").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    classes = scratch.save(classes.select("best", "best.node", "fp", "sketch"), "classes")
     places = found.select(F.col("key").alias("node"), "file", "at")
-    links = verified(near.join(places, "node"), rows.select("file", "at", F.col("doc.text").cast("binary").alias("t")))
-    comps = components(Scratch(spark, "dedup"), scratch.save(links, "links"))
-    kept = classes.select("node", "best").join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min("best").alias("best"))
-    kept = scratch.save(kept.select("best.node").join(places, "node").select("file", "at"), "kept")
-    for name in ("signatures", "classes", "bands", "reps", "groups", "links"):
+    search = _Search(scratch, classes.select("node", "fp", "sketch"), places, rows.select("file", "at", F.col("doc.text").cast("binary").alias("t")))
+    search.found()
+    chosen = classes.select("node", "best")
+    if search.comps is not None:
+        chosen = chosen.join(search.comps, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min("best").alias("best"))
+    gone = found.join(chosen.select(F.col("best.node").alias("key")), "key", "left_anti").select("file", "at")
+    gone = scratch.save(gone, "gone")
+    for name in (*search.names, "signatures", "classes", "groups"):
         scratch.drop(name)
-    # as many places as documents stay: merged, not sent to every task
-    return rows.join(kept.hint("merge"), ["file", "at"], "left_semi").select("doc.*")
+    # of the rows only those that go, or hash like such, are shuffled
+    sieved = sifted(rows, sieve(gone))
+    kept = sieved.filter("maybe").join(gone.hint("merge"), ["file", "at"], "left_anti")
+    return sieved.filter("not maybe").select("doc.*").union(kept.select("doc.*"))

@@ -34,6 +34,8 @@ KINDS = ["assign", "access", "hex", "entropy"]
 _SCALE = 1_000_000
 #: Characters of a candidate that are scanned at a time, and matches or spans that are handled together.
 PIECE, TOGETHER = 4096, 64
+#: Spans that are laid against candidates together, and such as are cut out of a text together.
+MASKS, REDACTED = 256, 512
 #: Counts are fields of five bits, twelve in a number; the alphabet of candidates lies between + and z.
 _FIELD, _FIELDS, _FIRST = 5, 12, ord("+")
 _NUMBERS = -(-(ord("z") - _FIRST + 1) // _FIELDS)
@@ -65,13 +67,13 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _firsts(rows: Column) -> Column:
-    """Numbers of the blocks of TOGETHER that hold the rows of an array."""
-    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / TOGETHER).cast("int"))).otherwise(F.array().cast("array<int>"))
+def _firsts(rows: Column, size: int = TOGETHER) -> Column:
+    """Numbers of the blocks of ``size`` that hold the rows of an array."""
+    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def _slice(rows: Column, block: Column) -> Column:
-    return F.slice(rows, block * TOGETHER + 1, F.lit(TOGETHER))
+def _slice(rows: Column, block: Column, size: int = TOGETHER) -> Column:
+    return F.slice(rows, block * size + 1, F.lit(size))
 
 
 def _found(text: Column, pattern: str, group: int, order: int) -> Column:
@@ -79,7 +81,8 @@ def _found(text: Column, pattern: str, group: int, order: int) -> Column:
 
     The pieces between matches and the matches themselves alternate, so running
     sums of their lengths are the positions: first within blocks of matches,
-    then over blocks, since an array that grows is copied at each step.
+    then over blocks, since an array that grows is copied at each step. Only the
+    blocks' offsets grow so over the whole text.
     """
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(pieces.alias("p"), whole.alias("w"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
@@ -93,18 +96,20 @@ def _found(text: Column, pattern: str, group: int, order: int) -> Column:
         e = s + F.coalesce(F.length(x["w"]), F.lit(0))
         return F.struct(e.alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span(s, e, x["g"])))).alias("out"))
 
-    def shift(acc: Column, b: Column) -> Column:
-        moved = F.transform(b["out"], lambda x: span(x["s"] + acc["at"], x["e"] + acc["at"], x["g"]))
-        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+    def placed(blocks: Column) -> Column:
+        zero = F.array(F.lit(0))
+        offsets = F.aggregate(blocks, zero, lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = lambda b, by: F.transform(b["out"], lambda x: span(x["s"] + by, x["e"] + by, x["g"]))
+        return _let(offsets, lambda at: F.flatten(F.transform(blocks, lambda b, i: moved(b, F.get(at, i)))))
 
     blocks = _let(rows, lambda r: F.transform(_firsts(r), lambda b: F.aggregate(_slice(r, b), start, step)))
-    return F.aggregate(blocks, start, shift, lambda acc: acc["out"])
+    return _let(blocks, placed)
 
 
 def _blocks(masks: Column) -> Column:
     """Blocks of spans: m, with their least start (lo) and largest end (hi)."""
     block = lambda m: F.struct(F.array_min(F.transform(m, lambda x: x["s"])).alias("lo"), F.array_max(F.transform(m, lambda x: x["e"])).alias("hi"), m.alias("m"))
-    return _let(masks, lambda r: F.transform(_firsts(r), lambda b: _let(_slice(r, b), block)))
+    return _let(masks, lambda r: F.transform(_firsts(r, MASKS), lambda b: _let(_slice(r, b, MASKS), block)))
 
 
 def _pieces(x: Column, masks: Column) -> Column:
@@ -230,15 +235,35 @@ def op3_secret_scan(spark, sf_dir) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    """``text`` with each span, or run of overlapping spans, replaced by its first kind in brackets.
+
+    Spans are by start. They are taken in blocks: the text of a block is cut out
+    once, its pieces from that, and all pieces are joined at the end.
+    """
+    kinds, size = F.array(*[F.lit(k) for k in KINDS]), REDACTED
+    left = "array<struct<at:int,s:int,k:int>>"
 
     def step(acc: Column, x: Column) -> Column:
-        mark = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.element_at(kinds, x["k"] + 1), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(mark).alias("out"))
+        piece = F.struct(acc["at"].alias("at"), x["s"].alias("s"), x["k"].alias("k"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+
+    def block(part: Column, begin: Column) -> Column:
+        """The pieces of a block whose earlier spans end at ``begin``, each with its mark."""
+        found = F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(left).alias("out")), step)
+
+        def cut(acc: Column) -> Column:
+            own = F.substring(text, begin + 1, acc["at"] - begin)
+            piece = lambda t, x: F.concat(F.substring(t, x["at"] - begin + 1, x["s"] - x["at"]), F.lit("["), F.element_at(kinds, x["k"] + 1), F.lit("]"))
+            return _let(own, lambda t: F.array_join(F.transform(acc["out"], lambda x: piece(t, x)), ""))
+
+        return _let(found, cut)
+
+    def pieces(parts: Column) -> Column:
+        most = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.array_max(F.transform(p, lambda x: x["e"]))))))
+        joined = lambda at: F.concat(F.array_join(F.transform(parts, lambda p, i: block(p, F.get(at, i))), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
+        return _let(most, joined)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return _let(F.transform(_firsts(spans, size), lambda b: _slice(spans, b, size)), pieces)
 
 
 def redact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ total W, block j of a source is released at slot floor(j * W / w) and due by slo
 ceil((j + 1) * W / w); each slot takes, of the released blocks, the one that is due
 first. Every block then runs within its window, so after any number of slots each
 source is less than one block away from its target share. A document longer than what
-is left of its block goes on in the next ones: it has a slot to begin and one to end in,
-and counts in each slot with the characters that the block holds. Weights are whole numbers,
+is left of its block goes on in the next ones, so it is given out in parts, one for each
+of its blocks; read by parts, the mix stays within one block after every part. Weights are whole numbers,
 so the schedule repeats after W slots: one such period is worked out from the weights
 alone, and the slot of any block of any document follows by arithmetic.
 """
@@ -59,13 +59,15 @@ def before(sums: DataFrame, keys: list[str], at: str, value: str, together: int
 
 
 def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_chars: int = BLOCK_CHARS, id_col: str = "id", source_col: str = "source", chars_col: str = "chars") -> DataFrame:
-    """``rows`` with start (the row's first character within its source), block and slot, last_block and last_slot.
+    """``rows`` with start (the row's first character within its source), block and slot, last_block and last_slot, and parts.
 
     A row begins in the block of its first character and ends in that of its
-    last; one without characters is where it starts. The order within a source is
-    a fixed scatter of the id, then the id, then the length. Reading by (slot,
-    start, id) is the mix; sources that end early leave their slots empty and
-    no row is dropped or repeated. Null or unlisted sources share the weight
+    last; one without characters is where it starts. ``parts`` has slot, offset
+    and chars of what each of its blocks holds of it: together all of it, in order.
+    The order within a source is a fixed scatter of the id, then the id, then the
+    length. Reading all parts by (slot, start + offset, id) is the mix; sources
+    without a row get no slots, those that end early leave theirs empty, and no
+    character is dropped or repeated. Null or unlisted sources share the weight
     ``other``; null lengths count as 0 and null ids as id 0; repeated rows
     follow each other. Names of other columns may be any but those added here.
 
@@ -73,20 +75,21 @@ def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_ch
     ranges of the scattered id, sums of buckets give offsets, and only rows of
     one bucket are sorted together.
     """
-    spark, total = rows.sparkSession, sum(weights.values()) + other
+    spark = rows.sparkSession
     names = [*weights, None]
     sizes = [*weights.values(), other]
-    count, table = [0] * len(sizes), []
-    for slot, i in enumerate(period(sizes)):
-        table.append((i, count[i], slot))
-        count[i] += 1
-    # one row for each slot of a period: as many as the weights sum up to
-    slots = F.broadcast(spark.createDataFrame(table, "mix_source int, mix_j long, mix_slot long"))
 
     index = F.lit(len(weights))
     for i, name in enumerate(names[:-1]):
         index = F.when(F.col(source_col) == name, i).otherwise(index)
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    # as many rows as there are weights at most
+    counts = dict(rows.groupBy(index.alias("i")).count().collect())
+    buckets, present = max(1, -(-sum(counts.values()) // BUCKET_ROWS)), sorted(counts) or [0]
+    total, own = sum(sizes[i] for i in present), {i: [] for i in present}
+    for slot, k in enumerate(period([sizes[i] for i in present])):
+        own[present[k]].append(slot)
+    # a row for each weight; together they have as many numbers as the weights sum up to
+    slots = F.broadcast(spark.createDataFrame(list(own.items()), "mix_source int, mix_slots array<bigint>"))
     at = F.pmod(F.pmod(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), F.lit(1 << 31)) * 2654435761, F.lit(1 << 32))
     rows = rows.withColumns({"mix_source": index, "mix_at": at, "mix_chars": F.coalesce(F.col(chars_col), F.lit(0)).cast("long")})
     rows = rows.withColumn("mix_bucket", F.expr(f"mix_at * {buckets} div {1 << 32}"))
@@ -94,49 +97,51 @@ def mixed(rows: DataFrame, weights: dict[str, int], other: int = OTHER, block_ch
     inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_at", id_col, "mix_chars").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("mix_inside", F.sum("mix_chars").over(inside) - F.col("mix_chars"))
     rows = rows.join(sums.withColumnRenamed("before", "mix_before"), ["mix_source", "mix_bucket"]).withColumn("start", F.col("mix_before") + F.col("mix_inside"))
-    share = F.element_at(F.array(*[F.lit(w) for w in sizes]), F.col("mix_source") + 1)
-    rows = rows.withColumns({"mix_weight": share, "block": F.expr(f"start div {block_chars}"), "last_block": F.expr(f"(start + greatest(mix_chars, 1) - 1) div {block_chars}")})
-    for block, slot in (("block", "slot"), ("last_block", "last_slot")):
-        rows = rows.withColumn("mix_j", F.col(block) % F.col("mix_weight")).join(slots, ["mix_source", "mix_j"])
-        rows = rows.withColumn(slot, F.expr(f"{block} div mix_weight * {total} + mix_slot")).drop("mix_slot", "mix_j")
-    return rows.drop("mix_source", "mix_at", "mix_chars", "mix_bucket", "mix_before", "mix_inside", "mix_weight")
+    rows = rows.withColumns({"block": F.expr(f"start div {block_chars}"), "last_block": F.expr(f"(start + greatest(mix_chars, 1) - 1) div {block_chars}")})
+    slot = "{0} div size(mix_slots) * " + str(total) + " + element_at(mix_slots, cast({0} % size(mix_slots) as int) + 1)"
+    first, last = f"greatest(b * {block_chars}, start)", f"least((b + 1) * {block_chars}, start + mix_chars)"
+    parts = f"transform(sequence(block, last_block), b -> struct({slot.format('b')} as slot, {first} - start as offset, {last} - {first} as chars))"
+    rows = rows.join(slots, "mix_source").withColumns({"slot": F.expr(slot.format("block")), "last_slot": F.expr(slot.format("last_block")), "parts": F.expr(parts)})
+    return rows.drop("mix_source", "mix_at", "mix_chars", "mix_bucket", "mix_before", "mix_inside", "mix_slots")
 
 
 def op10_source_mixing(spark, sf_dir) -> DataFrame:
-    """doc_id, source, start, block, slot, last_block, last_slot of all of ``documents``."""
+    """doc_id, source, start, block, slot, last_block, last_slot, parts (slot:offset:chars of each) of all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
     found = mixed(docs, WEIGHTS, id_col="doc_id", chars_col="n_chars")
-    return found.select("doc_id", "source", "start", "block", "slot", "last_block", "last_slot")
+    told = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["slot"], p["offset"], p["chars"])), ",")
+    return found.select("doc_id", "source", "start", "block", "slot", "last_block", "last_slot", told.alias("parts"))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their columns and mix_start, mix_block, mix_slot and mix_last_slot, which replace columns of these names."""
+    """All documents with their columns and mix_start, mix_block, mix_slot, mix_last_slot and mix_parts, which replace columns of these names."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "n_chars")
     found = mixed(packed, WEIGHTS, id_col="doc_id", chars_col="n_chars")
-    added = {"mix_start": "start", "mix_block": "block", "mix_slot": "slot", "mix_last_slot": "last_slot"}
+    added = {"mix_start": "start", "mix_block": "block", "mix_slot": "slot", "mix_last_slot": "last_slot", "mix_parts": "parts"}
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added]
     return found.select(*kept, *[F.col(v).alias(k) for k, v in added.items()])
 
 
 _SIZES = [*WEIGHTS.values(), OTHER]
-_TOTAL = sum(_SIZES)
 OP10_SQL = f"""
-WITH RECURSIVE w AS (SELECT {_SIZES} AS ws),
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(n_chars, 0) AS c,
+    CASE source {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(WEIGHTS, 1))} ELSE {len(_SIZES)} END AS src,
+    ((coalesce(doc_id, 0) & 2147483647) * 2654435761) & 4294967295 AS h
+  FROM documents),
+w AS (SELECT ws, list_sum(ws) AS total FROM (SELECT list_transform(range(1, {len(_SIZES) + 1}), lambda i: CASE WHEN list_contains(here, i) THEN {_SIZES}[i] ELSE 0 END) AS ws FROM (SELECT list(DISTINCT src) AS here FROM d))),
 s(t, n, pick) AS (
   SELECT 0, list_transform(ws, lambda x: 0), 0 FROM w
   UNION ALL
   SELECT t + 1, list_transform(range(1, len(ws) + 1), lambda i: n[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
     SELECT t, n, ws, list_min(list_transform(range(1, len(ws) + 1), lambda i:
-      CASE WHEN n[i] * {_TOTAL} // ws[i] <= t THEN (((n[i] + 1) * {_TOTAL} + ws[i] - 1) // ws[i]) * 1000 + i ELSE 1000000000 END)) % 1000 AS p
-    FROM s, w WHERE t < {_TOTAL})),
+      CASE WHEN ws[i] > 0 AND n[i] * total // ws[i] <= t THEN (((n[i] + 1) * total + ws[i] - 1) // ws[i]) * 1000 + i ELSE 1000000000 END)) % 1000 AS p
+    FROM s, w WHERE t < total)),
 slots AS (SELECT pick AS src, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j, t - 1 AS slot FROM s WHERE t > 0),
-d AS (
-  SELECT doc_id, source, coalesce(n_chars, 0) AS c,
-    CASE source {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(WEIGHTS, 1))} ELSE {len(_SIZES)} END AS src,
-    ((coalesce(doc_id, 0) & 2147483647) * 2654435761) & 4294967295 AS h
-  FROM documents),
 b AS (SELECT *, CAST(sum(c) OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, c ROWS UNBOUNDED PRECEDING) - c AS BIGINT) AS start FROM d),
-e AS (SELECT *, start // {BLOCK_CHARS} AS block, (start + greatest(c, 1) - 1) // {BLOCK_CHARS} AS last_block, ws[src] AS wt FROM b, w)
-SELECT doc_id, source, start, block, CAST(block // wt * {_TOTAL} + f.slot AS BIGINT) AS slot, last_block, CAST(last_block // wt * {_TOTAL} + l.slot AS BIGINT) AS last_slot
+e AS (SELECT *, start // {BLOCK_CHARS} AS block, (start + greatest(c, 1) - 1) // {BLOCK_CHARS} AS last_block, ws[src] AS wt, total FROM b, w)
+SELECT doc_id, source, start, block, CAST(block // wt * total + f.slot AS BIGINT) AS slot, last_block, CAST(last_block // wt * total + l.slot AS BIGINT) AS last_slot,
+  (SELECT string_agg(CAST(b // wt * total + p.slot AS BIGINT) || ':' || (greatest(b * {BLOCK_CHARS}, start) - start) || ':' || (least((b + 1) * {BLOCK_CHARS}, start + c) - greatest(b * {BLOCK_CHARS}, start)), ',' ORDER BY b)
+    FROM (SELECT unnest(range(block, last_block + 1)) AS b) JOIN slots p ON p.src = e.src AND p.j = b % wt) AS parts
 FROM e JOIN slots f ON e.src = f.src AND f.j = e.block % e.wt JOIN slots l ON e.src = l.src AND l.j = e.last_block % e.wt
 """

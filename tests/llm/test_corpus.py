@@ -498,7 +498,9 @@ def test_mixing_stays_within_one_block_on_the_table(spark, block_chars):
     names, sizes, own = list(weights), [*weights.values(), source_mixing.OTHER], {}
     for r in rows:
         own.setdefault(names.index(r["source"]) if r["source"] in weights else len(names), []).append(r)
-    slots, done = source_mixing.period(sizes), {}
+    present = sorted(own)
+    sizes = [w if i in own else 0 for i, w in enumerate(sizes)]
+    slots, done = [present[k] for k in source_mixing.period([sizes[i] for i in present])], {}
     for t in range(max(r["last_slot"] for r in rows) + 1):
         i = slots[t % sum(sizes)]
         done.setdefault(i, []).append(t)

@@ -2,7 +2,7 @@
 
 Each stage gets all that the one before kept; what it decides takes effect on the rows
 that it returns. All but the last return the columns of ``documents``; the last adds
-mix_start, mix_block, mix_slot and mix_last_slot, by which the corpus is to be read.
+mix_start, mix_block, mix_slot, mix_last_slot and mix_parts, by which the corpus is to be read.
 """
 
 from __future__ import annotations

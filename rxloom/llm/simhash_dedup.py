@@ -29,10 +29,10 @@ BUCKET = 64
 STAGE_WORDS, ALIKE, OF_SIZES = 5, 9, 4
 #: Of two texts with Jaccard similarity j, one band or more is equal with 1 - (1 - j ** ROWS) ** BANDS: 0.99997 at 0.8.
 BANDS, ROWS = 20, 4
-#: Minima of BANDS * ROWS that a pair of sketches agrees in to be looked at: of pairs at 0.8, 1 in 10 million has fewer.
-CLOSE = 44
+#: Minima of BANDS * ROWS in which close sketches agree: of pairs at 0.8, 3 in 100,000 agree in fewer.
+CLOSE = 50
 #: Turns in which the texts of a key are compared with one of them; further bands that cut a full bucket.
-TURNS, DEEP = 3, 2
+TURNS, DEEP = 3, 1
 #: Texts that are compared with one in a task, and texts of a full bucket that are compared at a time.
 PART, BLOCK = 256, 256
 #: Numbers of 64 bits in the bitmap that tells which rows to shuffle.
@@ -129,17 +129,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Copies share a fingerprint and are folded into one node before anything is
     joined. Null or wordless texts have fingerprint zero and link like others;
-    repeated rows stay and share a component; a null id is kept, and never names
+    repeated rows stay and share a component; an id with several texts doesn't link
+    them, and has the component of each; a null id is kept, and never names
     a component that has another id. Other columns of ``docs`` are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    pairs = close_pairs(scratch, classes.select("fp"))
-    named = pairs.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-    named = named.join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    comps = components(scratch, named.select("ra", "rb"), "ra", "rb")
-    settled = classes.join(comps, classes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    comps = components(scratch, close_pairs(scratch, classes.select("fp")))
+    settled = classes.join(comps, classes.fp == comps.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    settled = settled.join(settled.groupBy("group").agg(F.min("rep").alias("component")), "group").select("fp", "component")
     return rows.join(settled, "fp", "left").select("id", "fp", "component")
 
 
@@ -186,9 +185,16 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["digest binary", "fp long", "sketch binary"]))
 
 
-def _bands() -> list[Column]:
-    """One key a band: equal where ROWS minima are."""
-    return [F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
+def _alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of 0.8 or more."""
+    if ALIKE * min(len(one), len(other)) < OF_SIZES * (len(one) + len(other)):
+        return False
+    return ALIKE * len(np.intersect1d(one, other, assume_unique=True)) >= OF_SIZES * (len(one) + len(other))
+
+
+def _bands() -> Column:
+    """An array of key and bit for each band; keys are equal where ROWS minima are."""
+    return F.array(*[F.struct(F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)).alias("key"), F.lit(1 << k).alias("mask")) for k in range(BANDS)])
 
 
 def _equal(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -215,22 +221,44 @@ def sifted(rows: DataFrame, holes: DataFrame) -> DataFrame:
     return marked.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("w", "bit", "bits")
 
 
+class _Roots:
+    """Union-find over places; those of one label are together from the beginning."""
+
+    def __init__(self, labels: list[int]):
+        first: dict[int, int] = {}
+        self.root = [first.setdefault(c, k) for k, c in enumerate(labels)]
+
+    def find(self, n: int) -> int:
+        root = self.root
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    def join(self, a: int, b: int) -> bool:
+        one, other = self.find(a), self.find(b)
+        self.root[one] = other
+        return one != other
+
+
 class _Search:
     """Links of texts with a Jaccard similarity of 0.8 or more, enough of them to connect all such pairs.
 
     ``classes``: node, fp, sketch of different texts; ``places``: node, file, at;
-    ``rows``: file, at, t. Texts meet under the keys of their bands, and where their
-    fingerprints are close. In a few turns each key's texts are compared with one of
-    them, another each turn, which settles groups of copies of any size in linear
-    work; keys whose texts are connected by then are done. What others hold is
-    compared in small buckets, large ones being cut by further bands first. A pair is
-    looked at if its sketches agree as far as 0.8 does but for one in ten million,
-    and then its true shingles decide.
+    ``rows``: file, at, t. Two steps. First groups by sketches: texts meet under the
+    keys of their bands, and where their fingerprints are close; a few turns compare
+    those of each key with one of them, another each turn, and what is grouped by then
+    isn't compared again. The rest of each key is compared in small buckets, large ones
+    being cut by further bands first, and in blocks where that doesn't help. Sketches
+    are close if they agree as far as 0.8 does but for 3 in 100,000. Then the shingles:
+    each turn's close pairs are compared, which connects most of a group in linear
+    work, and at last, in each group, those outside of its largest part with all.
     """
 
     def __init__(self, scratch: Scratch, classes: DataFrame, places: DataFrame, rows: DataFrame):
         self.scratch, self.classes, self.places, self.rows = scratch, classes, places, rows
-        self.links: DataFrame | None = None
+        self.close: list[DataFrame] = []
+        self.links: list[DataFrame] = []
         self.comps: DataFrame | None = None
         self.names: list[str] = []
 
@@ -238,30 +266,42 @@ class _Search:
         self.names.append(f"{name}-{len(self.names)}")
         return self.scratch.save(df, self.names[-1])
 
-    def found(self) -> DataFrame | None:
-        keyed = self.classes.filter("length(sketch) > 0").select(F.explode(F.array(*_bands())).alias("key"), "node")
-        keyed = keyed.union(self.classes.select(F.xxhash64(F.lit("fp"), "fp"), "node"))
+    def found(self) -> None:
+        keyed = self.classes.filter("length(sketch) > 0").select(F.explode(_bands()).alias("b"), "node").select("b.key", "b.mask", "node")
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         keyed = self.save(keyed.join(shared, "key"), "keyed")
         reps = self.save(self.classes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
         near = close_pairs(self.scratch, reps.select("fp"))
         near = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-        near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        near = near.select("ra", "rb").union(self.classes.join(reps, "fp").filter("node <> rep").select("rep", "node")).toDF("a", "b")
         for turn in range(TURNS):
             pairs = self.stars(keyed, turn)
-            if not self.verify(self.alike(pairs.union(near) if not turn else pairs)):
+            pairs = self.save(self.alike(pairs if turn else pairs.union(near).distinct()), "pairs")
+            if pairs.isEmpty():
                 break
-        self.rest(keyed)
-        return self.links
-
-    def labelled(self, keyed: DataFrame) -> DataFrame:
-        if self.comps is None:
-            return keyed.withColumn("comp", F.col("node"))
-        return keyed.join(self.comps.withColumnRenamed("component", "comp_"), "node", "left").withColumn("comp", F.coalesce("comp_", "node")).drop("comp_")
+            self.close.append(pairs)
+            self.links.append(self.save(self.compared(pairs), "links"))
+            self.comps = self.connected(self.links)
+        self.group(keyed)
+        if self.close:
+            self.links.append(self.save(self.settled(), "links"))
+            self.comps = self.connected(self.links)
+
+    def connected(self, links: list[DataFrame]) -> DataFrame:
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return components(Scratch(self.scratch.spark, "dedup"), every)
+
+    def labelled(self, rows: DataFrame, comps: DataFrame | None, name: str) -> DataFrame:
+        """``rows`` with the component of each node, which is the node itself where it has no link."""
+        if comps is None:
+            return rows.withColumn(name, F.col("node"))
+        return rows.join(comps.select("node", F.col("component").alias("comp_")), "node", "left").withColumn(name, F.coalesce("comp_", "node")).drop("comp_")
 
     def stars(self, keyed: DataFrame, turn: int) -> DataFrame:
         """Each text of a key with the one that this turn picks, unless both are connected."""
-        rows = self.labelled(keyed)
+        rows = self.labelled(keyed, self.comps, "comp")
         pick = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)))
         picks = rows.groupBy("key").agg(pick.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "p")
         return rows.join(picks, "key").filter("comp <> p.comp").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -286,112 +326,101 @@ class _Search:
         # they grow with the documents, so they are merged at every size
         return kept.join(needed.hint("merge"), ["file", "at"])
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Adds the links among ``pairs``; whether there were any.
-
-        The partners of a text are compared with it in parts of about PART.
-        """
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``. The partners of a text are compared with it in parts of about PART."""
 
         def compare(t: pa.Table) -> pa.Table:
             own, out = t.column("own").to_pylist(), []
             a = t.column("a")[0].as_py()
             one = _shingles(t.column("t")[own.index(True)].as_py())
             for k, node in enumerate(t.column("node").to_pylist()):
-                if not own[k]:
-                    other = _shingles(t.column("t")[k].as_py())
-                    if ALIKE * len(np.intersect1d(one, other, assume_unique=True)) >= OF_SIZES * (len(one) + len(other)):
-                        out.append(node)
+                if not own[k] and _alike(one, _shingles(t.column("t")[k].as_py())):
+                    out.append(node)
             return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-        pairs = self.save(pairs, "pairs")
         sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
         rows = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), F.lit(False).alias("own"))
         rows = rows.union(rows.select("a", "part", F.col("a"), F.lit(True)).distinct())
-        links = self.texts(rows).select("a", "part", "node", "own", "t").groupBy("a", "part").applyInArrow(compare, "a long, b long")
-        return self.add(links)
-
-    def add(self, links: DataFrame) -> bool:
-        links = self.save(links, "links")
-        if links.isEmpty():
-            return False
-        self.links = links if self.links is None else self.links.union(links)
-        self.comps = components(Scratch(self.scratch.spark, "dedup"), self.links)
-        return True
-
-    def rest(self, keyed: DataFrame) -> None:
-        """Compares what keys hold of texts that aren't connected yet."""
-        pairs, depth = [], 0
+        return self.texts(rows).select("a", "part", "node", "own", "t").groupBy("a", "part").applyInArrow(compare, "a long, b long")
+
+    def group(self, keyed: DataFrame) -> None:
+        """Adds to ``close`` what connects the texts of each key whose sketches are close."""
+        depth, groups = 0, self.connected(self.close) if self.close else None
         while True:
-            rows = self.labelled(keyed)
-            open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "n")
-            rows = self.save(rows.join(open_, "key"), "open")
-            pairs.append(self.within(rows.filter(f"n <= {BUCKET}")))
+            rows = self.labelled(keyed, groups, "comp")
+            open_ = rows.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "mask", "n")
+            rows = self.save(rows.join(open_, ["key", "mask"]), "open")
             full = rows.filter(f"n > {BUCKET}")
-            if full.isEmpty():
+            last = depth == DEEP or full.isEmpty()
+            # blocks of one another where a bucket is larger than a block
+            self.close.append(self.save(self.blocks(rows if last else rows.filter(f"n <= {BUCKET}")), "close"))
+            if last:
                 break
-            if depth == DEEP:
-                self.add(self.blocks(full))
-                break
-            own = self.classes.select("node", "sketch")
-            more = full.select("key", "node").join(own, "node").filter("length(sketch) > 0")
-            cut = more.select("node", "key", F.explode(F.array(*_bands())).alias("band")).filter("key <> band")
-            # a key and a band meet once, whichever of them came first
-            cut = cut.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node").distinct()
+            more = full.select("key", "mask", "node").join(self.classes.select("node", "sketch"), "node")
+            cut = more.select("key", "mask", "node", F.explode(_bands()).alias("b")).filter((F.col("mask").bitwiseAND(F.col("b.mask"))) == 0)
+            # a set of bands has one key, whichever of them came first
+            cut = cut.select(F.col("key").bitwiseXOR(F.col("b.key")).alias("key"), F.col("mask").bitwiseOR(F.col("b.mask")).alias("mask"), "node").distinct()
             keyed, depth = self.save(cut, "cut"), depth + 1
-        found = pairs[0]
-        for p in pairs[1:]:
-            found = found.union(p)
-        self.verify(found.distinct())
 
-    def within(self, members: DataFrame) -> DataFrame:
-        """The pairs of close sketches in buckets of BUCKET texts at most that aren't connected."""
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Pairs of close sketches in each bucket that connect all such pairs of it; two blocks of BLOCK texts a task."""
 
-        def run(t: pa.Table) -> pa.Table:
-            nodes, comps, minima = np.array(t["node"]), np.array(t["comp"]), _minima(t["sketch"])
-            near = (_equal(minima[:, None, :], minima[None, :, :]) >= CLOSE) & (comps[:, None] != comps[None, :]) & (nodes[:, None] < nodes[None, :])
-            i, j = np.nonzero(near)
-            return pa.table({"a": pa.array(nodes[i], pa.int64()), "b": pa.array(nodes[j], pa.int64())})
+        def compare(t: pa.Table) -> pa.Table:
+            nodes, blocks, minima, labels = t["node"].to_pylist(), np.array(t["blk"]), _minima(t["sketch"]), np.array(t["comp"])
+            roots, two, out = _Roots(labels.tolist()), bool((blocks != blocks[0]).any()), []
+            for x in range(1, len(nodes)):
+                other = labels[:x] != labels[x]
+                if two:
+                    other &= blocks[:x] != blocks[x]
+                others = np.flatnonzero(other)
+                if len(others):
+                    out += [(nodes[x], nodes[y]) for y in others[_equal(minima[others], minima[x]) >= CLOSE].tolist() if roots.join(x, y)]
+            return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-        own = self.classes.filter("length(sketch) > 0").select("node", "sketch")
-        rows = members.select("key", "node", "comp").join(own, "node").select("key", "node", "comp", "sketch")
-        return rows.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+        rows = self.dealt(members.select("key", "mask", "node", "comp", (F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks")))
+        rows = rows.join(self.classes.select("node", "sketch"), "node").select("key", "mask", "i", "j", "blk", "node", "comp", "sketch")
+        return rows.groupBy("key", "mask", "i", "j").applyInArrow(compare, "a long, b long")
 
-    def blocks(self, members: DataFrame) -> DataFrame:
-        """Links within buckets that stayed full, each set of texts once, two blocks of BLOCK texts a task."""
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with blk, their block of ``blocks``, once for each pair of blocks i <= j that it is in."""
+        rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o", "blocks")
 
-        def compare(t: pa.Table) -> pa.Table:
-            nodes, blocks, minima = t["node"].to_pylist(), t["blk"].to_pylist(), _minima(t["sketch"])
-            comps: dict[int, int] = {}
-            root = [comps.setdefault(c, k) for k, c in enumerate(t["comp"].to_pylist())]
-            two, out, sets = len(set(blocks)) > 1, [], {}
-
-            def find(n: int) -> int:
-                while root[n] != n:
-                    root[n] = root[root[n]]
-                    n = root[n]
-                return n
-
-            def own(k: int) -> np.ndarray:
-                if k not in sets:
-                    sets[k] = _shingles(t["t"][k].as_py())
-                return sets[k]
+    def settled(self) -> DataFrame:
+        """Links between the parts of each group: blocks of texts outside of its largest part with blocks of all of it."""
 
+        def compare(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("out", "descending")])
+            nodes, outside, minima, labels = t["node"].to_pylist(), t["out"].to_pylist(), _minima(t["sketch"]), np.array(t["comp"])
+            roots, found, sets = _Roots(labels.tolist()), [], {}
             for x in range(len(nodes)):
-                for y in np.flatnonzero(_equal(minima[:x], minima[x]) >= CLOSE).tolist():
-                    if two and blocks[x] == blocks[y] or find(x) == find(y):
+                if not outside[x]:
+                    break
+                mine = None
+                others = np.flatnonzero(labels != labels[x])
+                for y in others[_equal(minima[others], minima[x]) >= CLOSE].tolist() if len(others) else []:
+                    if nodes[x] == nodes[y] or roots.find(x) == roots.find(y):
                         continue
-                    one, other = own(x), own(y)
-                    if ALIKE * len(np.intersect1d(one, other, assume_unique=True)) >= OF_SIZES * (len(one) + len(other)):
-                        root[find(x)] = find(y)
-                        out.append((nodes[x], nodes[y]))
-            return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-        sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"))
-        sets = sets.groupBy("n", "x", "lo").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        rows = members.select("key", "node", "comp").join(sets, "key").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
-        rows = self.texts(rows.join(self.classes.select("node", "sketch"), "node")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "comp", "sketch", "t")
-        return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+                    mine = _shingles(t["t"][x].as_py()) if mine is None else mine
+                    if y not in sets:
+                        sets[y] = _shingles(t["t"][y].as_py())
+                    if _alike(mine, sets[y]):
+                        roots.join(x, y)
+                        found.append((nodes[x], nodes[y]))
+            return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+        groups = self.connected(self.close).withColumnRenamed("component", "g")
+        rows = self.save(self.labelled(groups, self.comps, "comp").groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n")), "parts")
+        best = rows.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).filter("parts > 1")
+        rows = self.labelled(groups, self.comps, "comp").join(best, "g").withColumn("out", F.col("comp") != F.col("main"))
+        few, many = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+        rows = rows.withColumns({"few": few, "many": many})
+        deal = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = rows.filter("out").select("g", "node", "comp", F.lit(True).alias("out"), deal("few").alias("i"), each("many").alias("j"))
+        all_ = rows.select("g", "node", "comp", F.lit(False).alias("out"), each("few").alias("i"), deal("many").alias("j"))
+        rows = self.texts(one.union(all_).join(self.classes.select("node", "sketch"), "node"))
+        return rows.select("g", "i", "j", "node", "comp", "out", "sketch", "t").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def placed(docs: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ BLOCK = 256
 
 
 def _hashes(rank: str = "pos") -> list[Column]:
-    """Two 64-bit hashes of a turn at its place; prefixes are hashed by xor over these."""
-    turn = [F.col(rank), F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))]
+    """Two 64-bit hashes of a turn at its place; prefixes are hashed by xor over these. Nulls are told from any text by a flag."""
+    turn = [F.col(rank), *[x for c in ("role", "text") for x in (F.isnull(c), F.coalesce(c, F.lit("")))]]
     return [F.xxhash64(*turn).alias("h1"), F.xxhash64(F.lit("second"), *turn).alias("h2")]
 
 
@@ -80,7 +80,7 @@ def op4_chat_format(spark, sf_dir) -> DataFrame:
 
 OP4_SQL = """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT *, list(struct_pack(r := coalesce(role, chr(1)), x := coalesce(text, chr(1)))) OVER (PARTITION BY conv_id ORDER BY pos) AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+p AS (SELECT *, list(struct_pack(rn := role IS NULL, r := coalesce(role, ''), xn := text IS NULL, x := coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY pos) AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
 e AS (SELECT l, min(conv_id) AS conv_id FROM p WHERE pos = n - 1 GROUP BY l),
 k AS (SELECT conv_id FROM e WHERE l NOT IN (SELECT l FROM p WHERE pos < n - 1))
 SELECT conv_id, pos, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM t WHERE conv_id IN (SELECT conv_id FROM k)

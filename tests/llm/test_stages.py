@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from conftest import SF
 
-from rxloom.llm import decontamination, quality_classifier, secret_scan, simhash_dedup, source_mixing
+from rxloom.llm import chat_format, decontamination, quality_classifier, secret_scan, simhash_dedup, source_mixing
 
 DOCS = "doc_id long, text string"
 VOCABULARY = [f"w{i:04d}" for i in range(5000)]
@@ -150,17 +150,17 @@ def test_texts_that_share_boilerplate_are_not_compared_pair_by_pair(spark, monke
     common = " ".join(made(rng, 80))
     rows = [(k, common + " " + " ".join(f"u{k}x{i}" for i in range(120))) for k in range(2000)]
     rows += [(5000 + k, rows[k][1] + " more") for k in range(5)]
-    seen, verify = [], simhash_dedup._Search.verify
+    seen, texts = [], simhash_dedup._Search.texts
 
-    def counted(self, pairs):
-        pairs = self.save(pairs, "seen")
-        seen.append(pairs.count())
-        return verify(self, pairs)
+    def counted(self, needed):
+        needed = self.save(needed, "seen")
+        seen.append(needed.count())
+        return texts(self, needed)
 
-    monkeypatch.setattr(simhash_dedup._Search, "verify", counted)
+    monkeypatch.setattr(simhash_dedup._Search, "texts", counted)
     found = simhash_dedup.dedup_stage(spark, spark.createDataFrame(rows, DOCS).repartition(4), SF)
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(2000))
-    assert sum(seen) <= 20
+    assert sum(seen) <= 40
 
 
 def test_full_buckets_are_cut_and_compared_in_blocks(spark, monkeypatch):
@@ -204,3 +204,18 @@ def test_redaction_of_many_spans(spark):
                 out.append(t[at:s] + f"[{secret_scan.KINDS[k]}]")
             at = max(at, e)
         assert got[i] == (t if t is None else "".join(out) + t[at:])
+
+
+def test_null_turns_equal_only_null_turns(spark):
+    """A null role or text is told from every text, also from those that could stand for it."""
+    turns = [(1, 0, None, "a"), (2, 0, "\0", "a"), (2, 1, "u", "b"), (3, 0, "", "a"), (3, 1, "u", "c"), (4, 0, None, "a"), (4, 1, None, None), (5, 0, "x", None), (6, 0, "x", ""), (6, 1, "y", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert {r["conv"] for r in chat_format.maximal(df).collect()} == {2, 3, 4, 5, 6}
+
+
+def test_ids_with_several_texts_do_not_link_them(spark):
+    """Whether the id is the smallest of its class or not."""
+    texts = {k: " ".join(made(np.random.default_rng(k), 30)) for k in "AB" for k in [ord(k)]}
+    for rows, want in (([(5, "A"), (9, "A"), (9, "B"), (7, "B")], {(5, 5), (9, 5), (9, 7), (7, 7)}), ([(5, "A"), (9, "A"), (5, "B"), (7, "B")], {(5, 5), (9, 5), (7, 5)}), ([(None, "A"), (3, "B")], {(None, None), (3, 3)})):
+        df = spark.createDataFrame([(i, texts[ord(t)]) for i, t in rows], DOCS)
+        assert {(r["id"], r["component"]) for r in simhash_dedup.simhash_components(df).collect()} == want

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rxloom.operators import images
 from rxloom.operators.graphs import connected
-from rxloom.sources.versions import shared_dir
+from rxloom.sources.shared import shared_dir
 
 STRIP = "image_id long, width int, height int, y int, px array<int>"
 #: Lines of a tile.

@@ -264,6 +264,9 @@ ORACLE = {
       o AS (SELECT * FROM r WHERE key % 2 = 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY key DESC) = 1),
       n AS (SELECT * FROM r WHERE key % 3 = 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY key DESC) = 1)
       SELECT *, 1 AS version FROM o UNION ALL SELECT *, 2 FROM n UNION ALL SELECT *, 2 FROM o WHERE name NOT IN (SELECT name FROM n)""",
+    "dictionary_failover": f"""SELECT min(p_partkey) AS dict_idx, p_name AS name, true AS found FROM part GROUP BY p_name
+      UNION ALL SELECT i - 1, [{", ".join(f"'{t}'" for t in fixed.MEDIA_TYPES)}][i], false FROM (SELECT unnest(range(1, {len(fixed.MEDIA_TYPES) + 1})) AS i)""",
+    "result_ids": """SELECT sha256(concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey, '}')) AS id, o_orderkey FROM orders""",
     "stored_prescriptions": f"""WITH {inputs.DOCUMENTS_SQL}, {_steps(STRICT)}, {_SUMMARY},
       l AS (SELECT rx_id, string_agg(concat_ws('|', name, dosage, code, duration_days), ';' ORDER BY line_no) AS medicines FROM parsed GROUP BY rx_id)
       SELECT text AS raw_text, {strip(x('text', fixed.DOCTOR))} AS doctor_name, {strip(x('text', fixed.PATIENT))} AS patient_name, coalesce(medicines, '') AS medicines, {_WARNED} AS warnings, ocr_conf AS overall_confidence

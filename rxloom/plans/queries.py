@@ -9,7 +9,7 @@ from rxloom.functions import fixed
 from rxloom.operators import extract, frequency, images, linkage, merge, model_output, ocr, prescriptions, schedule
 from rxloom.operators import lines as line_ops
 from rxloom.plans import inputs
-from rxloom.sources import dictionaries, sinks, uploads, versions
+from rxloom.sources import dictionaries, shared, sinks, uploads, versions
 
 CODES = fixed.FREQUENCIES
 KEY = ["rx_id", "line_no"]
@@ -171,7 +171,11 @@ def _engines(spark, sf_dir) -> DataFrame:
 
 def engine_texts(spark, sf_dir) -> DataFrame:
     """O4, O6."""
-    return ocr.enabled(ocr.engine_texts(_engines(spark, sf_dir))).withColumn("avg_conf", F.round("avg_conf", 10))
+    return _texts(_engines(spark, sf_dir))
+
+
+def _texts(engines: DataFrame) -> DataFrame:
+    return ocr.enabled(ocr.engine_texts(engines)).withColumn("avg_conf", F.round("avg_conf", 10))
 
 
 def best_variants(spark, sf_dir) -> DataFrame:
@@ -199,8 +203,11 @@ def line_similarities(spark, sf_dir) -> DataFrame:
 
 def merged_texts(spark, sf_dir) -> DataFrame:
     """M6, M7: confidences as rounded, so that equal ones are equal."""
-    rows = best_variants(spark, sf_dir)
-    blocks = _rounded(_engines(spark, sf_dir)).join(rows.select("rx_id", "engine", "variant_idx"), ["rx_id", "engine", "variant_idx"])
+    path = shared.shared_dir(spark)
+    _engines(spark, sf_dir).write.parquet(f"{path}/lines")
+    engines = spark.read.parquet(f"{path}/lines")
+    rows = ocr.best_variants(_texts(engines))
+    blocks = _rounded(engines).join(rows.select("rx_id", "engine", "variant_idx"), ["rx_id", "engine", "variant_idx"])
     return merge.merged_texts(rows, blocks).select("rx_id", "text", F.round("avg_confidence", 12).alias("conf"), "primary_engine")
 
 
@@ -271,7 +278,7 @@ def upsert_codes(spark, sf_dir) -> DataFrame:
     """A table of codes by brand, into which the built-in ones and those of small parts are written, twice."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     code = "substring(upper(translate(p_brand, '#', '')), 1, 7) AS code"
-    table = versions.VersionedTable(spark, versions.shared_dir(spark), "code", buckets=8)
+    table = versions.VersionedTable(spark, shared.shared_dir(spark), "code", buckets=8)
     table.upsert(parts.selectExpr("100 + p_partkey AS ord", code, "p_type AS full_name"), ["ord"])
     known = dictionaries.frequency_codes(spark).selectExpr("CAST(ord AS bigint) AS ord", "code", "full_name")
     new = known.union(parts.filter("p_size <= 10").selectExpr("100 + p_partkey AS ord", code, "upper(p_type) AS full_name"))
@@ -287,7 +294,7 @@ def _broken() -> None:
 def table_versions(spark, sf_dir) -> DataFrame:
     """S11 as a write: the rows of both versions of a table; an upsert that fails and one that changes nothing leave no version."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS key", "concat(p_name, ' ', p_partkey % 50) AS name", "p_brand AS category", "p_retailprice AS price")
-    table = versions.VersionedTable(spark, versions.shared_dir(spark), "name", buckets=16)
+    table = versions.VersionedTable(spark, shared.shared_dir(spark), "name", buckets=16)
     table.upsert(rows.filter("key % 2 = 0"), ["key"])
     first = table.read()
     thirds = rows.filter("key % 3 = 0")
@@ -297,6 +304,20 @@ def table_versions(spark, sf_dir) -> DataFrame:
     return first.withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(table.version())))
 
 
+def dictionary_failover(spark, sf_dir) -> DataFrame:
+    """A dictionary that is read from its table, and one whose table isn't there."""
+    path = shared.shared_dir(spark)
+    inputs.dictionary(spark, sf_dir).write.parquet(f"{path}/dictionary")
+    there = dictionaries.medicine_names(spark, f"{path}/dictionary", ["none"]).withColumn("found", F.lit(True))
+    gone = dictionaries.medicine_names(spark, f"{path}/nothing", fixed.MEDIA_TYPES).withColumn("found", F.lit(False))
+    return there.unionByName(gone)
+
+
+def result_ids(spark, sf_dir) -> DataFrame:
+    """S9."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(sinks.result_id("o_orderkey", "o_custkey").alias("id"), "o_orderkey")
+
+
 def stored_prescriptions(spark, sf_dir) -> DataFrame:
     """Raw texts with the medicines of their strict lines in order, and their warnings."""
     heads = extract.header_fields(F.col("text"))
@@ -351,7 +372,7 @@ QUERIES = {
         doses_per_prescription, split_lines, line_scores, strict_lines, lenient_lines, header_fields, dosages, frequencies, default_times, durations, medicine_lines,
         medicines, schedules, dose_rows, daily_slots, daily_doses, dose_progress, display_labels, warnings, fallback_choice, ocr_rows, word_blocks, engine_texts,
         best_variants, unread_documents, merge_choice, line_similarities, merged_texts, link_candidates, link_matches, link_bands, model_lines, dictionary_search,
-        dictionary_sizes, frequency_dictionary, upsert_medicines, upsert_codes, table_versions, stored_prescriptions, stored_reminders, result_json, upload_validation,
+        dictionary_sizes, frequency_dictionary, upsert_medicines, upsert_codes, table_versions, dictionary_failover, result_ids, stored_prescriptions, stored_reminders, result_json, upload_validation,
         image_geometry, text_regions, skews,
     )
 }

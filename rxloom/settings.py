@@ -25,5 +25,6 @@ class Settings:
     default_time: str = "08:00"
     max_upload_mb: int = 10
     min_upload_bytes: int = 1000
-    #: Rows of a dictionary that a task holds at a time.
+    #: Rows of a dictionary, and names that are looked up in it, which a task holds at a time.
     dictionary_rows: int = 50_000
+    name_rows: int = 20_000

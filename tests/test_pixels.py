@@ -10,7 +10,7 @@ from conftest import SF, same
 
 from rxloom.operators import graphs, images, rasters
 from rxloom.plans import pictures
-from rxloom.sources.versions import shared_dir
+from rxloom.sources.shared import shared_dir
 
 
 @pytest.mark.parametrize("name", sorted(pictures.QUERIES))

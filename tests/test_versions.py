@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from rxloom.sources.versions import Conflict, VersionedTable, shared_dir
+from rxloom.sources.shared import shared_dir
+from rxloom.sources.versions import Conflict, VersionedTable
 
 
 def rows(spark, *values):

@@ -32,7 +32,7 @@ BANDS, ROWS = 20, 4
 #: Minima of BANDS * ROWS in which close sketches agree: of pairs at 0.8, 3 in 100,000 agree in fewer.
 CLOSE = 50
 #: Turns in which the texts of a key are compared with one of them; further bands that cut a full bucket.
-TURNS, DEEP = 3, 1
+TURNS, DEEP = 2, 1
 #: Texts that are compared with one in a task, and texts of a full bucket that are compared at a time.
 PART, BLOCK = 256, 256
 #: Numbers of 64 bits in the bitmap that tells which rows to shuffle.
@@ -281,11 +281,17 @@ class _Search:
                 break
             self.close.append(pairs)
             self.links.append(self.save(self.compared(pairs), "links"))
-            self.comps = self.connected(self.links)
+            if turn + 1 < TURNS:
+                self.comps = self.save(self.linked(self.links[-1]), "linked")
         self.group(keyed)
-        if self.close:
-            self.links.append(self.save(self.settled(), "links"))
-            self.comps = self.connected(self.links)
+        self.comps = self.connected(self.links) if self.links else None
+        self.links.append(self.save(self.settled(), "links"))
+        self.comps = self.connected(self.links)
+
+    def linked(self, links: DataFrame) -> DataFrame:
+        """(node, component) of a turn's links, in one step: equal components are connected, but not all that are connected are equal."""
+        both = links.union(links.select(F.col("a"), F.col("a")).distinct()).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        return both.join(both.select(F.col("node").alias("up"), F.col("up").alias("component")), "up").select("node", "component")
 
     def connected(self, links: list[DataFrame]) -> DataFrame:
         every = links[0]

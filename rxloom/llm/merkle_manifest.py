@@ -178,7 +178,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, bucket: int = BUCK
     row = {c: F.col(c) for c in LEAF_COLUMNS}
     lowered = F.when(F.lit(False) if tampered is None else tampered, F.translate("text", _UPPER, _LOWER))
     slim = docs.select("doc_id", "lang", leaf(row).alias("h"), F.when(lowered != F.col("text"), leaf(row | {"text": lowered})).alias("t"))
-    leaves = ranked(scratch, slim, "lang", [F.col("doc_id").asc_nulls_first(), F.col("h").asc()], "ranges")
+    # written before it is dealt by ranges, which reads its input twice
+    leaves = ranked(scratch, scratch.save(slim, "hashes"), "lang", [F.col("doc_id").asc_nulls_first(), F.col("h").asc()], "ranges")
 
     names = scratch.save(scratch.spark.read.parquet(f"{scratch.base}/ranges").groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
     names = ranked(scratch, names.withColumn("all_", F.lit(0)), "all_", [F.col("lang").asc_nulls_first()], "languages")

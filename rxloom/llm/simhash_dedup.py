@@ -326,7 +326,7 @@ class _Search:
 
     def texts(self, needed: DataFrame) -> DataFrame:
         """``needed`` (node, ...) with the texts t. Only those that are needed, or hash like such, are shuffled."""
-        needed = needed.join(self.places, "node")
+        needed = self.save(needed.join(self.places, "node"), "needed")  # read twice
         holes = sieve(needed.select("file", "at"))
         kept = sifted(self.rows, holes).filter("maybe").drop("maybe")
         # they grow with the documents, so they are merged at every size
@@ -420,7 +420,7 @@ class _Search:
         best = rows.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).filter("parts > 1")
         rows = self.labelled(groups, self.comps, "comp").join(best, "g").withColumn("out", F.col("comp") != F.col("main"))
         few, many = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-        rows = rows.withColumns({"few": few, "many": many})
+        rows = self.save(rows.withColumns({"few": few, "many": many}), "settling")
         deal = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         one = rows.filter("out").select("g", "node", "comp", F.lit(True).alias("out"), deal("few").alias("i"), each("many").alias("j"))

@@ -58,7 +58,7 @@ def cropped_images(spark, sf_dir) -> DataFrame:
     """Images cut to the region of their text."""
     strips = inputs.rasters(spark, sf_dir)
     found = rasters.cropped(strips, images.text_region(rasters.text_boxes(strips)))
-    return found.groupBy("image_id", "width", "height").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v)).alias("total"))
+    return rasters.line_sums(found).groupBy("image_id", "width", "height").agg(F.count(F.lit(1)).alias("lines"), F.sum("total").alias("total"))
 
 
 def image_edges(spark, sf_dir) -> DataFrame:
@@ -73,23 +73,18 @@ def line_angles(spark, sf_dir) -> DataFrame:
 
 def scaled_images(spark, sf_dir) -> DataFrame:
     """I4: small images enlarged. Two sums of each line."""
-    return _sums(rasters.upscaled(inputs.rasters(spark, sf_dir)))
+    return rasters.line_sums(rasters.upscaled(inputs.rasters(spark, sf_dir)))
 
 
 def reduced_images(spark, sf_dir) -> DataFrame:
     """Images reduced by area to a quarter and a third of their sides."""
     strips = inputs.rasters(spark, sf_dir).withColumns({"to_width": F.lit(W // 4), "to_height": F.lit(H // 3)})
-    return _sums(rasters.resized(strips, area=True))
-
-
-def _sums(strips: DataFrame, *more: str) -> DataFrame:
-    total = lambda each: F.aggregate(F.transform("px", each), F.lit(0).cast("long"), lambda a, v: a + v)
-    return strips.select(*more, "image_id", "width", "height", "y", total(lambda v: v).alias("total"), total(lambda v, x: v * (x + 1)).alias("weighted"))
+    return rasters.line_sums(rasters.resized(strips, area=True))
 
 
 def image_variants(spark, sf_dir) -> DataFrame:
     """The four variants of each image. Two sums of each line."""
-    return _sums(rasters.variants(inputs.rasters(spark, sf_dir)), "variant_idx", "variant_name").drop("width", "height")
+    return rasters.line_sums(rasters.variants(inputs.rasters(spark, sf_dir)), "variant_idx", "variant_name").drop("width", "height")
 
 
 def image_skews(spark, sf_dir) -> DataFrame:

@@ -84,7 +84,7 @@ def reduced_images(spark, sf_dir) -> DataFrame:
 
 def image_variants(spark, sf_dir) -> DataFrame:
     """The four variants of each image. Two sums of each line."""
-    return rasters.line_sums(rasters.variants(inputs.rasters(spark, sf_dir)), "variant_idx", "variant_name").drop("width", "height")
+    return rasters.variants(inputs.rasters(spark, sf_dir), rasters.line_sums).drop("width", "height")
 
 
 def image_skews(spark, sf_dir) -> DataFrame:
